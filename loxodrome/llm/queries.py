@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from loxodrome.llm import decontam
+from loxodrome.llm.decontam import op5_benchmark_decontamination
 from loxodrome.llm.langid import op8_language_id
+from loxodrome.llm.mixing import op3_mix_sources
 from loxodrome.llm.quality_rules import op10_quality_rules
 
 QUERIES = {
+    "op3_mix_sources": op3_mix_sources,
+    "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op8_language_id": op8_language_id,
     "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op5_benchmark_decontamination": decontam.ORACLE}
