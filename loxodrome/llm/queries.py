@@ -6,10 +6,14 @@ from loxodrome.llm import decontam
 from loxodrome.llm.decontam import op5_benchmark_decontamination
 from loxodrome.llm.langid import op8_language_id
 from loxodrome.llm.mixing import op3_mix_sources
+from loxodrome.llm.quality_cnn import op2_quality_classifier
 from loxodrome.llm.quality_rules import op10_quality_rules
+from loxodrome.llm.toxicity import op4_toxicity
 
 QUERIES = {
+    "op2_quality_classifier": op2_quality_classifier,
     "op3_mix_sources": op3_mix_sources,
+    "op4_toxicity": op4_toxicity,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op8_language_id": op8_language_id,
     "op10_quality_rules": op10_quality_rules,
