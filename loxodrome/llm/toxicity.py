@@ -45,7 +45,9 @@ HIDE_COST, DROP_COST, RUN_COST = 0.7, 0.5, 0.4
 NOT_LETTER = np.ones(256, bool)
 NOT_LETTER[65:91] = NOT_LETTER[97:123] = False
 NOT_LETTER[128:] = False
-PREFIXES = (4, 5, 7)
+PREFIXES = (4, 5, 6, 7, 8, 9)
+#: A word marks toxicity from this excess in deviations and this ratio of frequencies on.
+MIN_EXCESS, MIN_LIFT = 2.5, 8
 
 
 def _ids(b: tk.Block) -> np.ndarray:
@@ -173,18 +175,19 @@ class ToxicityModel:
         (out,) = tk.text_blocks(pa.array([self.channel.restore(t) for t in texts], pa.string()), 1 << 60, b.rows)
         return out
 
-    def _rows(self, blocks) -> tuple[np.ndarray, np.ndarray, int]:
-        """Unique (text, feature) pairs among the chosen features."""
-        rows, cols, n = [], [], 0
+    def _rows(self, blocks) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        """(text, feature, log of 1 + count) of the chosen features."""
+        rows, cols, values, n = [], [], [], 0
         for b in blocks:
             h, doc = _features(self._restored(b))
             at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
             hit = self.keys[at] == h
-            pair = np.unique((doc[hit] + n) * len(self.keys) + at[hit])
+            pair, count = np.unique((doc[hit] + n) * len(self.keys) + at[hit], return_counts=True)
             rows.append(pair // len(self.keys))
             cols.append(pair % len(self.keys))
+            values.append(np.log1p(count))
             n += b.rows
-        return np.concatenate(rows), np.concatenate(cols), n
+        return np.concatenate(rows), np.concatenate(cols), np.concatenate(values), n
 
     def fit(self, texts: list[str], y: np.ndarray, seed: int = 4) -> ToxicityModel:
         if len(set(y.tolist())) < 2:
@@ -201,22 +204,25 @@ class ToxicityModel:
         keys, inv = np.unique(h, return_inverse=True)
         toxic = np.bincount(inv[y[doc] == 1], minlength=len(keys))
         clean = np.bincount(inv[y[doc] == 0], minlength=len(keys))
+        # by how many deviations a feature is more frequent in toxic texts than its overall frequency lets expect
+        expected = (toxic + clean) * (y == 1).mean()
+        excess = (toxic - expected) / np.sqrt(expected + 1)
         lift = ((toxic + 0.5) / (y == 1).sum()) / ((clean + 0.5) / (y == 0).sum())
-        marks = np.flatnonzero((toxic >= max(2, 0.002 * (y == 1).sum())) & (lift >= 3))
-        marks = marks[np.argsort(-(toxic[marks] * np.log(lift[marks])), kind="stable")[: self.max_features]]
+        marks = np.flatnonzero((excess >= MIN_EXCESS) & (lift >= MIN_LIFT))
+        marks = marks[np.argsort(-excess[marks], kind="stable")[: self.max_features]]
         self.keys = np.sort(keys[marks]) if len(marks) else np.zeros(1, np.uint64)
-        rows, cols, n = self._rows(blocks)
+        rows, cols, values, n = self._rows(blocks)
         x = np.zeros((n, len(self.keys)), np.float32)
-        x[rows, cols] = 1
+        x[rows, cols] = values
         self.w = Ftrl(len(self.keys), 2, alpha=0.5, l1=1e-3, l2=1e-3).fit(x, y, 6, 32, seed)
         return self
 
     def score(self, b: tk.Block) -> np.ndarray:
         if self.constant is not None:
             return np.full(b.rows, self.constant)
-        rows, cols, n = self._rows([b])
+        rows, cols, values, n = self._rows([b])
         w = self.w[:, 1] - self.w[:, 0]
-        z = w[-1] + np.bincount(rows, w[:-1][cols], n)
+        z = w[-1] + np.bincount(rows, w[:-1][cols] * values, n)
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
