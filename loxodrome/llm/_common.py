@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -56,3 +57,12 @@ def bounded_sample(df: DataFrame, key: str, stratum: str, per_stratum: int, seed
         if r[stratum] is not None:
             keep = keep | ((F.col(stratum) == F.lit(r[stratum])) & (unit(F.col(key), F.lit(seed)) < per_stratum / max(r["count"], 1)))
     return df.where(keep)
+
+
+def table(df: DataFrame) -> DataFrame:
+    """Written as Parquet to the shared checkpoint folder and read back: a compact cut point that many jobs may read."""
+    spark = df.sparkSession
+    checkpoint_ready(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
