@@ -6,6 +6,7 @@ from loxodrome.llm import decontam, substring_dedup
 from loxodrome.llm.decontam import op5_benchmark_decontamination
 from loxodrome.llm.langid import op8_language_id
 from loxodrome.llm.mixing import op3_mix_sources
+from loxodrome.llm.near_dup import op6_minhash_near_dedup
 from loxodrome.llm.quality_cnn import op2_quality_classifier
 from loxodrome.llm.quality_rules import op10_quality_rules
 from loxodrome.llm.substring_dedup import op9_substring_dedup
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_mix_sources": op3_mix_sources,
     "op4_toxicity": op4_toxicity,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
+    "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op8_language_id": op8_language_id,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_quality_rules": op10_quality_rules,
