@@ -75,9 +75,9 @@ def _fold(items: Column) -> Column:
     return F.aggregate(F.slice(items, 2, F.size(items)), F.struct(first.alias("rest"), nothing.alias("done")), step)
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: int = 3, seed: int = 17, fan_in: int = 256) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken of every document."""
-    sized = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: int = 3, seed: int = 17, fan_in: int = 256, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies, taken of every document, and the columns named in ``carry`` (small ones: they travel through the tree)."""
+    sized = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *carry))
     targets = cut(source_targets(sized, weights, max_repeat))
     most = targets.agg(F.max("n")).first()[0] or 0
     t = targets.withColumnRenamed("source", "of_source")
@@ -85,8 +85,8 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat:
     rows = sized.join(t, F.col("source").eqNullSafe(F.col("of_source"))).drop("of_source").withColumn("rate", rate)
     rows = rows.withColumn("whole", F.floor("rate").cast("int")).withColumn("p", F.col("rate") - F.col("whole"))
     uneven = (F.col("p") > 0) & (F.col("size") > 0)
-    outcome = [rows.where(~uneven).select("doc_id", "source", "size", "source_size", "target", F.col("whole").alias("copies"))]
-    doc = F.struct("doc_id", "size", "source_size", "target", "whole")
+    outcome = [rows.where(~uneven).select("doc_id", "source", "size", "source_size", "target", *carry, F.col("whole").alias("copies"))]
+    doc = F.struct("doc_id", "size", "source_size", "target", "whole", *carry)
     buckets = F.ceil(F.col("n") / fan_in)
     level = rows.where(uneven).select(
         "source",
@@ -96,12 +96,12 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat:
     for depth in range(1, 1 + max(1, math.ceil(math.log(max(most, 2)) / math.log(fan_in)) + 1)):
         folded = level.groupBy("source", "bucket").agg(F.sort_array(F.collect_list("item")).alias("items"))
         folded = cut(folded.select("source", "bucket", _fold(F.col("items")).alias("out")))
-        outcome.append(folded.select("source", F.explode("out.done").alias("d")).select("d.doc.doc_id", "source", "d.doc.size", "d.doc.source_size", "d.doc.target", (F.col("d.doc.whole") + F.col("d.extra")).alias("copies")))
+        outcome.append(folded.select("source", F.explode("out.done").alias("d")).select("d.doc.doc_id", "source", "d.doc.size", "d.doc.source_size", "d.doc.target", *(f"d.doc.{c}" for c in carry), (F.col("d.doc.whole") + F.col("d.extra")).alias("copies")))
         rest = F.col("out.rest")
         again = unit(rest["doc"]["doc_id"], rest["doc"]["size"], F.lit(seed + 1 + depth))
         level = folded.select("source", F.floor(F.col("bucket") / fan_in).alias("bucket"), F.struct(again.alias("u"), rest["doc"].alias("doc"), rest["s"].alias("s"), rest["p"].alias("p")).alias("item"))
     last = F.col("item")
-    outcome.append(level.select(last["doc"]["doc_id"].alias("doc_id"), "source", last["doc"]["size"].alias("size"), last["doc"]["source_size"].alias("source_size"), last["doc"]["target"].alias("target"), (last["doc"]["whole"] + (last["u"] < last["p"]).cast("int")).alias("copies")))
+    outcome.append(level.select(last["doc"]["doc_id"].alias("doc_id"), "source", last["doc"]["size"].alias("size"), last["doc"]["source_size"].alias("source_size"), last["doc"]["target"].alias("target"), *(last["doc"][c].alias(c) for c in carry), (last["doc"]["whole"] + (last["u"] < last["p"]).cast("int")).alias("copies")))
     out = outcome[0]
     for part in outcome[1:]:
         out = out.unionByName(part)

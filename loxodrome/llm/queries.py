@@ -7,6 +7,7 @@ from loxodrome.llm.decontam import op5_benchmark_decontamination
 from loxodrome.llm.langid import op8_language_id
 from loxodrome.llm.mixing import op3_mix_sources
 from loxodrome.llm.near_dup import op6_minhash_near_dedup
+from loxodrome.llm.pii import op7_personal_data
 from loxodrome.llm.quality_cnn import op2_quality_classifier
 from loxodrome.llm.quality_rules import op10_quality_rules
 from loxodrome.llm.substring_dedup import op9_substring_dedup
@@ -20,6 +21,7 @@ QUERIES = {
     "op4_toxicity": op4_toxicity,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
+    "op7_personal_data": op7_personal_data,
     "op8_language_id": op8_language_id,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_quality_rules": op10_quality_rules,
