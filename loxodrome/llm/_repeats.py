@@ -85,7 +85,8 @@ def anchor_rows(docs: DataFrame, unit: Unit, columns: list[str]) -> DataFrame:
 
 def repeated_anchors(docs: DataFrame, unit: Unit) -> DataFrame:
     """The anchors whose hash occurs at least twice. Text is read twice, so that single anchors are never stored."""
-    often = anchor_rows(docs, unit, ["fp"]).groupBy("fp").count().where("count >= 2").select("fp")
+    # a table of its own, so that the join below has a plain shuffle on the side of the anchors, which Spark can split where a hash is hot
+    often = table(anchor_rows(docs, unit, ["fp"]).groupBy("fp").count().where("count >= 2").select("fp"))
     return table(anchor_rows(docs, unit, ["doc_id", "text_key", "lo", "hi", "fp", "ctx"]).join(often, "fp", "left_semi"))
 
 

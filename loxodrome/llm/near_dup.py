@@ -104,7 +104,8 @@ def table_keys(sig: Column) -> Column:
 def candidate_ties(vertices: DataFrame) -> DataFrame:
     """(a, b): members of a table cell, each with the least of the cell. vertices: v, sig."""
     keys = vertices.select("v", F.explode(table_keys(F.col("sig"))).alias("key"))
-    cells = keys.groupBy("key").agg(F.min("v").alias("a"), F.max("v").alias("top")).where("a < top").select("key", "a")
+    # written, so that hot cells can be split in the join: its side of keys is then a plain shuffle
+    cells = table(keys.groupBy("key").agg(F.min("v").alias("a"), F.max("v").alias("top")).where("a < top").select("key", "a"))
     ties = keys.join(cells, "key").where("v <> a").select("a", F.col("v").alias("b")).distinct()
     sig_a, sig_b = vertices.select(F.col("v").alias("a"), F.col("sig").alias("sig_a")), vertices.select(F.col("v").alias("b"), F.col("sig").alias("sig_b"))
     equal = F.size(F.filter(F.zip_with("sig_a", "sig_b", lambda x, y: x == y), lambda same: same))
