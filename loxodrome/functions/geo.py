@@ -7,7 +7,7 @@ import math
 import numpy as np
 
 from loxodrome.errors import GeoError
-from loxodrome.functions.sqltext import NAN, PI, case, clamp, deg, div, floored_mod, fold, hypot, num, rad
+from loxodrome.functions.sqltext import NAN, PI, bound, case, deg, div, floored_mod, fold, hypot, let, num, rad
 from loxodrome.model import EARTH_RADIUS_KM, Crs, as_crs
 
 
@@ -22,7 +22,7 @@ def wrap_longitude(lon: str, lon0: str = "0e0", window: str = "halfopen") -> str
 def great_circle_km(lon1: str, lat1: str, lon2: str, lat2: str, radius: float = EARTH_RADIUS_KM) -> str:
     dp, dl = rad(f"({lat2}) - ({lat1})"), rad(f"({lon2}) - ({lon1})")
     a = f"(pow(sin({dp} / 2e0), 2) + cos({rad(lat1)}) * cos({rad(lat2)}) * pow(sin({dl} / 2e0), 2))"
-    return f"(2e0 * {num(radius)} * asin({clamp(f'sqrt({a})', 0, 1)}))"
+    return f"(2e0 * {num(radius)} * asin({bound(f'sqrt({a})', 0, 1)}))"
 
 
 def bearings(lon1: str, lat1: str, lon2: str, lat2: str) -> tuple[str, str]:
@@ -36,7 +36,7 @@ def bearings(lon1: str, lat1: str, lon2: str, lat2: str) -> tuple[str, str]:
 def destination(lon: str, lat: str, bearing: str, distance: str, radius: float = EARTH_RADIUS_KM) -> tuple[str, str]:
     p1, brg, ang = rad(lat), rad(bearing), f"(({distance}) / {num(radius)})"
     s2 = f"(sin({p1}) * cos({ang}) + cos({p1}) * sin({ang}) * cos({brg}))"
-    p2 = f"asin({clamp(s2, -1, 1)})"
+    p2 = f"asin({bound(s2, -1, 1)})"
     l2 = f"({rad(lon)} + atan2(sin({brg}) * sin({ang}) * cos({p1}), cos({ang}) - sin({p1}) * sin({p2})))"
     return wrap_longitude(deg(l2)), deg(p2)
 
@@ -114,7 +114,7 @@ def project(lon: str, lat: str, crs: Crs | str, window: str = "halfopen", dialec
     elif c.name == "mercator":
         x, y = lam, f"ln(tan({PI} / 4e0 + {phi} / 2e0))"
     elif c.name == "transversemercator":
-        b = clamp(f"(cos({phi}) * sin({lam}))", -1 + 1e-15, 1 - 1e-15)
+        b = bound(f"(cos({phi}) * sin({lam}))", -1 + 1e-15, 1 - 1e-15)
         x, y = f"(0.5e0 * ln((1e0 + {b}) / (1e0 - {b})))", f"(atan2(tan({phi}), cos({lam})) - {num(phi0)})"
         outside += f" OR abs({b}) > {num(math.sin(math.radians(c.max_distance)))}"
     elif c.name == "robinson":
@@ -127,7 +127,7 @@ def project(lon: str, lat: str, crs: Crs | str, window: str = "halfopen", dialec
         d = f"sqrt(1e0 + cos({phi}) * cos({lam} / 2e0))"
         x, y = f"({num(2 * math.sqrt(2))} * cos({phi}) * sin({lam} / 2e0) / {d})", f"({num(math.sqrt(2))} * sin({phi}) / {d})"
     elif c.name == "winkeltripel":
-        alpha = f"acos({clamp(f'(cos({phi}) * cos({lam} / 2e0))', -1, 1)})"
+        alpha = f"acos({bound(f'(cos({phi}) * cos({lam} / 2e0))', -1, 1)})"
         sc = case(f"abs({alpha}) < 1e-12", "1e0", f"(sin({alpha}) / {alpha})")
         x, y = f"(0.5e0 * ({lam} * {num(2 / math.pi)} + 2e0 * cos({phi}) * sin({lam} / 2e0) / {sc}))", f"(0.5e0 * ({phi} + sin({phi}) / {sc}))"
     elif c.name == "sinusoidal":
@@ -138,13 +138,13 @@ def project(lon: str, lat: str, crs: Crs | str, window: str = "halfopen", dialec
         x, y = f"({rho} * sin({lam}))", f"({s}{rho} * cos({lam}))"
     elif c.family == "conic":
         if c.name == "albers":
-            rho = f"(sqrt({clamp(f'({num(k["C"])} - {num(2 * k["n"])} * sin({phi}))', 0, math.inf)}) / {num(k['n'])})"
+            rho = f"(sqrt({bound(f'({num(k["C"])} - {num(2 * k["n"])} * sin({phi}))', 0, math.inf)}) / {num(k['n'])})"
         else:
             rho = f"({num(k['F'])} / pow(tan({PI} / 4e0 + {phi} / 2e0), {num(k['n'])}))"
         x, y = f"({rho} * sin({num(k['n'])} * {lam}))", f"({num(k['rho0'])} - {rho} * cos({num(k['n'])} * {lam}))"
     else:
         s0, c0 = num(math.sin(phi0)), num(math.cos(phi0))
-        cosc = clamp(f"({s0} * sin({phi}) + {c0} * cos({phi}) * cos({lam}))", -1, 1)
+        cosc = bound(f"({s0} * sin({phi}) + {c0} * cos({phi}) * cos({lam}))", -1, 1)
         far = case(f"1e0 + {cosc} < 1e-15", "1e-15", f"(1e0 + {cosc})")
         scale = {
             "lambert": f"sqrt(2e0 / {far})", "stereographic": f"(2e0 / {far})", "orthographic": "1e0",
@@ -153,7 +153,7 @@ def project(lon: str, lat: str, crs: Crs | str, window: str = "halfopen", dialec
         }[c.name]
         x, y = f"({scale} * cos({phi}) * sin({lam}))", f"({scale} * ({c0} * sin({phi}) - {s0} * cos({phi}) * cos({lam})))"
         outside += f" OR {deg(f'acos({cosc})')} > {num(c.max_distance)}"
-    gap = f"isnan({lon}) OR isnan({lat}) OR {outside}"
+    gap = f"{lon} IS NULL OR {lat} IS NULL OR isnan({lon}) OR isnan({lat}) OR {outside}"
     return case(gap, NAN, x), case(gap, NAN, y)
 
 
@@ -167,24 +167,25 @@ def unproject(x: str, y: str, crs: Crs | str, dialect: str = "spark") -> tuple[s
         lam, phi = x, f"(2e0 * atan(exp({y})) - {PI} / 2e0)"
     elif c.name == "transversemercator":
         dy = f"(({y}) + {num(phi0)})"
-        phi, lam = f"asin({clamp(f'(sin({dy}) / cosh({x}))', -1, 1)})", f"atan2(sinh({x}), cos({dy}))"
+        phi, lam = f"asin({bound(f'(sin({dy}) / cosh({x}))', -1, 1)})", f"atan2(sinh({x}), cos({dy}))"
     elif c.name == "robinson":
         top = f"(abs({y}) / {num(ROBINSON_SCALE[1])})"
         off = f"{top} > 1.000000000001e0"
         # bisection: the step halves, and is taken wherever the interpolant is still below
         halved = "(th + 90e0 / pow(2e0, k))"
-        alat = fold(dialect, 55, "0e0", "th", case(f"{_robinson(ROBINSON_Y, halved)} < {top}", halved, "th"))
-        lam, phi = f"(({x}) / ({num(ROBINSON_SCALE[0])} * {_robinson(ROBINSON_X, alat)}))", rad(f"{alat} * sign({y})")
+        alat = fold(dialect, 55, "0e0", "th", let(dialect, halved, "m", case(f"{_robinson(ROBINSON_Y, 'm')} < {top}", "m", "th")))
+        lam = f"(({x}) / ({num(ROBINSON_SCALE[0])} * {let(dialect, alat, 'a', _robinson(ROBINSON_X, 'a'))}))"
+        phi = rad(f"{alat} * sign({y})")
     elif c.name == "mollweide":
         off = f"abs({y}) > {num(math.sqrt(2) + 1e-12)}"
-        th = f"asin({clamp(f'(({y}) / {num(math.sqrt(2))})', -1, 1)})"
-        phi = f"asin({clamp(f'((2e0 * {th} + sin(2e0 * {th})) / {PI})', -1, 1)})"
+        th = f"asin({bound(f'(({y}) / {num(math.sqrt(2))})', -1, 1)})"
+        phi = f"asin({bound(f'((2e0 * {th} + sin(2e0 * {th})) / {PI})', -1, 1)})"
         lam = div(f"{PI} * ({x})", f"{num(2 * math.sqrt(2))} * cos({th})")
     elif c.name == "hammer":
         z2 = f"(1e0 - pow(({x}) / 4e0, 2) - pow(({y}) / 2e0, 2))"
         off = f"{z2} <= 0e0"
-        z = f"sqrt({clamp(z2, 1e-300, math.inf)})"
-        lam, phi = f"(2e0 * atan2({z} * ({x}), 2e0 * (2e0 * {z} * {z} - 1e0)))", f"asin({clamp(f'({z} * ({y}))', -1, 1)})"
+        z = f"sqrt({bound(z2, 1e-300, math.inf)})"
+        lam, phi = f"(2e0 * atan2({z} * ({x}), 2e0 * (2e0 * {z} * {z} - 1e0)))", f"asin({bound(f'({z} * ({y}))', -1, 1)})"
     elif c.name == "sinusoidal":
         lam, phi = div(x, f"cos({y})"), y
     elif c.name == "polarstereographic":
@@ -198,7 +199,7 @@ def unproject(x: str, y: str, crs: Crs | str, dialect: str = "spark") -> tuple[s
         rho = hypot(x, up)
         lam = f"(atan2({num(s)} * ({x}), {num(s)} * {up}) / {num(n)})"
         if c.name == "albers":
-            phi = f"asin({clamp(f'(({num(k["C"])} - pow({rho} * {num(n)}, 2)) / {num(2 * n)})', -1, 1)})"
+            phi = f"asin({bound(f'(({num(k["C"])} - pow({rho} * {num(n)}, 2)) / {num(2 * n)})', -1, 1)})"
         else:
             phi = case(f"{rho} = 0e0", f"({num(s)} * {PI} / 2e0)", f"(2e0 * atan(pow({num(abs(k['F']))} / {rho}, {num(1 / n)})) - {PI} / 2e0)")
     elif c.name == "winkeltripel":
@@ -208,16 +209,18 @@ def unproject(x: str, y: str, crs: Crs | str, dialect: str = "spark") -> tuple[s
         limit = {"lambert": 2.0, "orthographic": 1.0, "azimuthalequidistant": math.pi}.get(c.name)
         off = "false" if limit is None else f"{rho} > {num(limit)}"
         cc = {
-            "lambert": f"(2e0 * asin({clamp(f'({rho} / 2e0)', -1, 1)}))", "stereographic": f"(2e0 * atan({rho} / 2e0))", "orthographic": f"asin({clamp(rho, -1, 1)})",
+            "lambert": f"(2e0 * asin({bound(f'({rho} / 2e0)', -1, 1)}))", "stereographic": f"(2e0 * atan({rho} / 2e0))", "orthographic": f"asin({bound(rho, -1, 1)})",
             "azimuthalequidistant": rho, "gnomonic": f"atan({rho})",
         }[c.name]
         s0, c0 = num(math.sin(phi0)), num(math.cos(phi0))
         inner = f"(cos({cc}) * {s0} + {div(f'({y}) * sin({cc}) * {c0}', rho, '0e0')})"
-        phi = case(f"{rho} < 1e-15", num(phi0), f"asin({clamp(inner, -1, 1)})")
+        phi = case(f"{rho} < 1e-15", num(phi0), f"asin({bound(inner, -1, 1)})")
         lam = case(f"{rho} < 1e-15", "0e0", f"atan2(({x}) * sin({cc}), {rho} * {c0} * cos({cc}) - ({y}) * {s0} * sin({cc}))")
         off += f" OR {deg(cc)} > {num(c.max_distance)}"
-    gap = f"isnan({x}) OR isnan({y}) OR {off}"
-    return case(gap, NAN, wrap_longitude(f"{deg(lam)} + {num(c.center_longitude)}", num(c.center_longitude))), case(gap, NAN, deg(phi))
+    gap = f"{x} IS NULL OR {y} IS NULL OR isnan({x}) OR isnan({y}) OR {off}"
+    turned = f"({deg(lam)} + {num(c.center_longitude)})"
+    wrapped = let(dialect, turned, "t", wrap_longitude("t", num(c.center_longitude))) if c.name == "robinson" else wrap_longitude(turned, num(c.center_longitude))
+    return case(gap, NAN, wrapped), case(gap, NAN, deg(phi))
 
 
 def inside_extent(lon: str, lat: str, lon_limit: tuple[float, float], lat_limit: tuple[float, float], x: str, y: str, slack: float = 1e-9) -> str:

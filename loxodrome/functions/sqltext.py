@@ -34,6 +34,19 @@ def clamp(x: str, lo: float, hi: float) -> str:
     return f"(CASE WHEN isnan({x}) THEN {NAN} WHEN {x} < {num(lo)} THEN {num(lo)} WHEN {x} > {num(hi)} THEN {num(hi)} ELSE {x} END)"
 
 
+def bound(x: str, lo: float, hi: float) -> str:
+    """Least and greatest values for arguments that only rounding can carry over; x stands once. A NaN is lost: callers test their inputs for gaps."""
+    out = x if math.isinf(lo) else f"greatest({x}, {num(lo)})"
+    return out if math.isinf(hi) else f"least({out}, {num(hi)})"
+
+
+def let(dialect: str, value: str, var: str, body: str) -> str:
+    """body, with a value bound to a name so that long expressions stand once."""
+    if dialect == "spark":
+        return f"transform(array({value}), {var} -> {body})[0]"
+    return f"list_transform([{value}], lambda {var}: {body})[1]"
+
+
 def div(a: str, b: str, at_zero: str = NAN) -> str:
     return f"(CASE WHEN ({b}) = 0e0 THEN {at_zero} ELSE ({a}) / ({b}) END)"
 

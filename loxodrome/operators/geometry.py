@@ -31,7 +31,7 @@ def project_points(lon: np.ndarray, lat: np.ndarray, crs: Crs | str, closed: boo
     """The forward projection on arrays; the same formulas as functions.geo.project, evaluated by numpy."""
     env = {
         "pi": lambda: np.pi, "sin": np.sin, "cos": np.cos, "tan": np.tan, "asin": np.arcsin, "acos": np.arccos, "atan2": np.arctan2, "ln": np.log, "sqrt": np.sqrt,
-        "pow": np.power, "abs": np.abs, "sign": np.sign, "floor": np.floor, "isnan": np.isnan, "exp": np.exp,
+        "pow": np.power, "abs": np.abs, "sign": np.sign, "floor": np.floor, "least": np.minimum, "greatest": np.maximum, "isnan": np.isnan, "exp": np.exp,
     }
     c = as_crs(crs)
     with np.errstate(all="ignore"):
@@ -87,6 +87,9 @@ def _evaluate(text: str, env: dict):
         ops = {"<": np.less, ">": np.greater, "<=": np.less_equal, ">=": np.greater_equal, "=": np.equal, "<>": np.not_equal}
         if peek() in ops:
             return ops[take()](v, total())
+        if peek().upper() == "IS":
+            take("IS"), take("NULL")
+            return False
         return v
 
     def total():
