@@ -7,7 +7,9 @@
    A pair of documents at similarity 0.75 shares a key unless it misses all of one
    collection: probability 1.6e-4, and 7e-6 at 0.8.
 3. Each member of a table cell is tied to the cell's least member, unless their
-   signatures rule the pair out; tied documents are families.
+   signatures rule the pair out; tied documents are families.  A first round with
+   eleven of the keys labels what they tie, and the round with all keys makes ties
+   between different labels alone, so a large group costs rows, not pairs.
 4. In a family every pair is decided on its full sets, through an inverted index.
    Families over ``block`` members are cut into blocks; every two blocks meet in one
    task, which reports a spanning forest of the links it finds: no pair is skipped,
@@ -94,19 +96,21 @@ def set_table(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_shingles long, h1 long, h2 long, sig array<int>")
 
 
-def table_keys(sig: Column) -> Column:
-    """The LEFT x RIGHT keys: every half key of one collection with every one of the other."""
+def table_keys(sig: Column, diagonal: bool = False) -> Column:
+    """The LEFT x RIGHT keys: every half key of one collection with every one of the other; or the LEFT pairs of equal position alone."""
     half = F.transform(F.sequence(F.lit(0), F.lit(LEFT + RIGHT - 1)), lambda i: F.xxhash64(i, F.slice(sig, i * HALF + 1, HALF)))
     pairs = lambda h: F.flatten(F.transform(F.slice(h, 1, LEFT), lambda x: F.transform(F.slice(h, LEFT + 1, RIGHT), lambda y: F.xxhash64(x, y))))
-    return F.element_at(F.transform(F.array(half), pairs), 1)
+    few = lambda h: F.zip_with(F.slice(h, 1, LEFT), F.slice(h, LEFT + 1, LEFT), lambda x, y: F.xxhash64(x, y))
+    return F.element_at(F.transform(F.array(half), few if diagonal else pairs), 1)
 
 
-def candidate_ties(vertices: DataFrame) -> DataFrame:
-    """(a, b): members of a table cell, each with the least of the cell. vertices: v, sig."""
-    keys = vertices.select("v", F.explode(table_keys(F.col("sig"))).alias("key"))
+def candidate_ties(vertices: DataFrame, diagonal: bool = False) -> DataFrame:
+    """(a, b): members of a table cell, each with the least of the cell, where their labels differ. vertices: v, label, sig."""
+    keys = vertices.select("v", "label", F.explode(table_keys(F.col("sig"), diagonal)).alias("key"))
     # written, so that hot cells can be split in the join: its side of keys is then a plain shuffle
-    cells = table(keys.groupBy("key").agg(F.min("v").alias("a"), F.max("v").alias("top")).where("a < top").select("key", "a"))
-    ties = keys.join(cells, "key").where("v <> a").select("a", F.col("v").alias("b")).distinct()
+    lead = F.min(F.struct("label", "v"))
+    cells = table(keys.groupBy("key").agg(lead.alias("lead"), F.max("label").alias("top")).where("lead.label < top").select("key", F.col("lead.v").alias("a"), F.col("lead.label").alias("of")))
+    ties = keys.join(cells, "key").where("label <> of").select("a", F.col("v").alias("b")).distinct()
     sig_a, sig_b = vertices.select(F.col("v").alias("a"), F.col("sig").alias("sig_a")), vertices.select(F.col("v").alias("b"), F.col("sig").alias("sig_b"))
     equal = F.size(F.filter(F.zip_with("sig_a", "sig_b", lambda x, y: x == y), lambda same: same))
     return ties.join(sig_b, "b").join(sig_a, "a").where(equal >= LEAST_AGREEMENT * N_HASHES).select("a", "b")
@@ -198,7 +202,10 @@ def near_duplicates(docs: DataFrame, block: int = 256) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document."""
     sets = table(set_table(docs))
     vertices = table(sets.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("v"), F.first("sig").alias("sig")).where("v is not null"))
-    ties = table(candidate_ties(vertices.select("v", "sig")))
+    # a few of the keys bring most of a group together, so that the rest only has to join what is still apart
+    first = table(candidate_ties(vertices.select("v", F.col("v").alias("label"), "sig"), diagonal=True))
+    known = vertices.select("v", "sig").join(components(first).withColumnRenamed("label", "known"), "v", "left").select("v", F.coalesce("known", "v").alias("label"), "sig")
+    ties = table(candidate_ties(known).unionByName(first))
     families = components(ties).select("v", F.col("label").alias("family"))
     links = table(exact_links(docs, families, block))
     label = components(links)
