@@ -52,7 +52,7 @@ def axis_step(c: np.ndarray) -> float:
 
 
 def is_global(lon: np.ndarray) -> bool:
-    return abs(lon[-1] - lon[0]) >= 360 - 1.5 * abs(axis_step(lon))
+    return bool(abs(lon[-1] - lon[0]) >= 360 - 1.5 * abs(axis_step(lon)))
 
 
 def registration(lon: np.ndarray, lat: np.ndarray, declared: str = "auto") -> str:
@@ -95,7 +95,7 @@ def edges(c: np.ndarray, reg: str = "cell", full: float | None = None) -> np.nda
 
 
 def _lookup(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    return spark.createDataFrame(rows, schema)
+    return spark.createDataFrame([tuple(v.item() if isinstance(v, np.generic) else v for v in r) for r in rows], schema)
 
 
 def window_indices(c: np.ndarray, lim: tuple[float, float]) -> tuple[int, int]:

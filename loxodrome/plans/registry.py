@@ -201,9 +201,9 @@ def nice_ticks(spark, d):
     return _tick_rows(spark, "linear", ticks.nice_ticks(-42.0, 93.0, target=7))
 
 
-@query("graticule_ticks", r6_sql("SELECT CAST(i AS INT) AS k, -180e0 + 60e0 * i AS v FROM range(7) t(i)", "k", value="v"))
+@query("graticule_ticks", r6_sql("SELECT CAST(i AS INT) AS k, -180e0 + 90e0 * i AS v FROM range(5) t(i)", "k", value="v"))
 def graticule_ticks(spark, d):
-    return _tick_rows(spark, "graticule", [v for v in ticks.nice_ticks(-180.0, 180.0, "graticule", 4) if v % 60 == 0])
+    return _tick_rows(spark, "graticule", ticks.nice_ticks(-180.0, 180.0, "graticule", 4))
 
 
 @query("colorbar_ticks", r6_sql("SELECT CASE WHEN i % 4 = 0 THEN 'main' ELSE 'minor' END AS kind, -100e0 + 12.5e0 * i AS v FROM range(17) t(i)", "kind", value="v"))
@@ -256,7 +256,7 @@ def polygon_values(spark, d):
     n = spark.read.parquet(f"{d}/nation.parquet").selectExpr("n_nationkey AS poly_id", "n_nationkey * 10e0 - 170e0 AS x")
     v = spark.read.parquet(f"{d}/customer.parquet").groupBy(F.col("c_nationkey").alias("poly_id")).agg(F.sum("c_acctbal").alias("value"))
     n = n.join(v.select("poly_id"), "poly_id", "left_semi")
-    rings = n.select("poly_id", F.posexplode(F.expr("array(struct(x, -5e0), struct(x + 8e0, -5e0), struct(x + 8e0, 5e0), struct(x, 5e0))")).alias("seq", "p")).selectExpr("poly_id", "CAST(seq AS LONG) AS seq", "p.x AS lon", "p.col2 AS lat")
+    rings = n.select("poly_id", F.posexplode(F.expr("transform(array(0, 1, 2, 3), k -> named_struct('lon', x + CASE WHEN k IN (1, 2) THEN 8e0 ELSE 0e0 END, 'lat', CASE WHEN k > 1 THEN 5e0 ELSE -5e0 END))")).alias("seq", "p")).selectExpr("poly_id", "CAST(seq AS LONG) AS seq", "p.lon AS lon", "p.lat AS lat")
     out = geometry.rings_with_values(rings, v)
     return r6(out.groupBy("poly_id").agg(F.max("value").alias("v"), F.count(F.lit(1)).alias("vertices")), "poly_id", "vertices", value="v")
 
@@ -271,7 +271,7 @@ def polygon_seam_split(spark, d):
 
 _SPLIT_SQL = """WITH t AS ({track}), d AS (SELECT *, {brk} AS b FROM (SELECT *, {lags} FROM t)), s AS (SELECT *, sum(CASE WHEN b THEN 1 ELSE 0 END) OVER (PARTITION BY track_id ORDER BY seq) AS g FROM d),
  n AS (SELECT *, count(*) OVER (PARTITION BY track_id, g) AS c FROM s), k AS (SELECT track_id, seq, dense_rank() OVER (PARTITION BY track_id ORDER BY g) AS pass_id FROM n WHERE c >= {least})
- SELECT t.track_id, t.seq, CAST(k.pass_id AS INT) AS pass_id FROM t LEFT JOIN k USING (track_id, seq)"""
+ SELECT t.track_id, t.seq, CAST(coalesce(k.pass_id, 0) AS INT) AS pass_id FROM t LEFT JOIN k USING (track_id, seq)"""
 _LAGS = "time - lag(time) OVER w AS dt, lag(lon) OVER w AS plon, lag(lat) OVER w AS plat, lag(grp) OVER w AS pgrp FROM t WINDOW w AS (PARTITION BY track_id ORDER BY seq)"
 
 
@@ -281,14 +281,14 @@ def _split_sql(brk: str, least: int = 2, track: str = TRACK) -> str:
 
 def _split(name: str, brk: str, least: int = 2, track: str = TRACK, **kw) -> None:
     ORACLES[name] = _split_sql(brk, least, track)
-    QUERIES[name] = lambda spark, d: tracks.split_tracks(base.track(spark, d), min_points=least, **kw).select("track_id", "seq", "pass_id")
+    QUERIES[name] = lambda spark, d: tracks.split_tracks(base.track(spark, d), min_points=least, **kw).selectExpr("track_id", "seq", "coalesce(pass_id, 0) AS pass_id")
 
 
 _split("split_tracks_time", "dt > 5 * (SELECT quantile_cont(u.dt, 0.5) FROM (SELECT track_id AS tid, time - lag(time) OVER (PARTITION BY track_id ORDER BY seq) AS dt FROM t) u WHERE u.dt > 0 AND u.tid = track_id)")
 ORACLES["split_tracks_time"] = f"""WITH t AS ({TRACK}), d0 AS (SELECT *, time - lag(time) OVER (PARTITION BY track_id ORDER BY seq) AS dt FROM t), m AS (SELECT track_id, 5 * quantile_cont(dt, 0.5) AS lim FROM d0 WHERE dt > 0 GROUP BY track_id),
  s AS (SELECT d0.track_id, seq, sum(CASE WHEN dt > lim THEN 1 ELSE 0 END) OVER (PARTITION BY d0.track_id ORDER BY seq) AS g FROM d0 LEFT JOIN m USING (track_id)),
  n AS (SELECT *, count(*) OVER (PARTITION BY track_id, g) AS c FROM s), k AS (SELECT track_id, seq, dense_rank() OVER (PARTITION BY track_id ORDER BY g) AS pass_id FROM n WHERE c >= 2)
- SELECT t.track_id, t.seq, CAST(k.pass_id AS INT) AS pass_id FROM t LEFT JOIN k USING (track_id, seq)"""
+ SELECT t.track_id, t.seq, CAST(coalesce(k.pass_id, 0) AS INT) AS pass_id FROM t LEFT JOIN k USING (track_id, seq)"""
 _split("split_tracks_fixed", "dt > 86400e0", time_gap="86400")
 _split("split_tracks_space", f"{geo.great_circle_km('plon', 'plat', 'lon', 'lat')} > 12000e0", time_gap=None, spatial_jump_km=12000.0)
 _split("split_tracks_group", "grp <> pgrp", group="grp")
@@ -298,21 +298,21 @@ _split("split_tracks_minpoints", "dt > 43200e0", 4, time_gap="43200")
 @query("split_tracks_region", f"""WITH t AS ({TRACK}), p AS (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY seq) AS pos FROM t), r AS (SELECT * FROM p WHERE lon >= -120 AND lon <= 150 AND lat >= -60 AND lat <= 75),
  s AS (SELECT track_id, seq, sum(CASE WHEN pos - ppos > 1 THEN 1 ELSE 0 END) OVER (PARTITION BY track_id ORDER BY seq) AS g FROM (SELECT *, lag(pos) OVER (PARTITION BY track_id ORDER BY seq) AS ppos FROM r)),
  n AS (SELECT *, count(*) OVER (PARTITION BY track_id, g) AS c FROM s), k AS (SELECT track_id, seq, dense_rank() OVER (PARTITION BY track_id ORDER BY g) AS pass_id FROM n WHERE c >= 2)
- SELECT t.track_id, t.seq, CAST(k.pass_id AS INT) AS pass_id FROM t LEFT JOIN k USING (track_id, seq)""")
+ SELECT t.track_id, t.seq, CAST(coalesce(k.pass_id, 0) AS INT) AS pass_id FROM t LEFT JOIN k USING (track_id, seq)""")
 def split_tracks_region(spark, d):
-    return tracks.split_tracks(base.track(spark, d), time_gap=None, region=Region("r", (-120, 150), (-60, 75))).select("track_id", "seq", "pass_id")
+    return tracks.split_tracks(base.track(spark, d), time_gap=None, region=Region("r", (-120, 150), (-60, 75))).selectExpr("track_id", "seq", "coalesce(pass_id, 0) AS pass_id")
 
 
 @query("split_tracks_forced", f"""WITH t AS ({TRACK}), s AS (SELECT track_id, seq, time, sum(CASE WHEN dt > 86400e0 THEN 1 ELSE 0 END) OVER (PARTITION BY track_id ORDER BY seq) AS g FROM (SELECT *, time - lag(time) OVER (PARTITION BY track_id ORDER BY seq) AS dt FROM t)),
  c AS (SELECT *, floor((time - first_value(time) OVER v) / 172800e0) AS ch, row_number() OVER v AS rn FROM s WINDOW v AS (PARTITION BY track_id, g ORDER BY seq)),
  f AS (SELECT *, CASE WHEN coalesce(ch <> lag(ch) OVER v, false) OR (rn > 1 AND (rn - 1) % 5 = 0) THEN 1 ELSE 0 END AS fb FROM c WINDOW v AS (PARTITION BY track_id, g ORDER BY seq)),
  h AS (SELECT track_id, seq, g + sum(fb) OVER (PARTITION BY track_id ORDER BY seq) AS g FROM f), n AS (SELECT *, count(*) OVER (PARTITION BY track_id, g) AS c FROM h),
- k AS (SELECT track_id, seq, dense_rank() OVER (PARTITION BY track_id ORDER BY g) AS pass_id FROM n WHERE c >= 2) SELECT t.track_id, t.seq, CAST(k.pass_id AS INT) AS pass_id FROM t LEFT JOIN k USING (track_id, seq)""")
+ k AS (SELECT track_id, seq, dense_rank() OVER (PARTITION BY track_id ORDER BY g) AS pass_id FROM n WHERE c >= 2) SELECT t.track_id, t.seq, CAST(coalesce(k.pass_id, 0) AS INT) AS pass_id FROM t LEFT JOIN k USING (track_id, seq)""")
 def split_tracks_forced(spark, d):
-    return tracks.split_tracks(base.track(spark, d), time_gap="86400", max_duration=172800.0, max_points=5).select("track_id", "seq", "pass_id")
+    return tracks.split_tracks(base.track(spark, d), time_gap="86400", max_duration=172800.0, max_points=5).selectExpr("track_id", "seq", "coalesce(pass_id, 0) AS pass_id")
 
 
-@query("track_breaks", f"""WITH k AS (SELECT * FROM ({ORACLES['split_tracks_fixed']}) WHERE pass_id IS NOT NULL), t AS ({TRACK})
+@query("track_breaks", f"""WITH k AS (SELECT * FROM ({ORACLES['split_tracks_fixed']}) WHERE pass_id > 0), t AS ({TRACK})
  SELECT track_id, pass_id, seq, CAST(0 AS INT) AS after, {rounded('lon')} AS lon FROM k JOIN t USING (track_id, seq)
  UNION ALL SELECT track_id, pass_id, max(seq), 1, NULL FROM k JOIN (SELECT track_id, max(pass_id) AS last FROM k GROUP BY track_id) l USING (track_id) WHERE pass_id < last GROUP BY track_id, pass_id""")
 def track_breaks(spark, d):
@@ -382,9 +382,9 @@ def series_band(spark, d):
     return r6(tracks.uncertainty_band(base.track(spark, d), "obs", 2.0), "track_id", "seq", lo="lo", hi="hi")
 
 
-@query("series_labels", r6_sql(f"SELECT track_id, arg_max(time, seq) + 0.01e0 * (max(time) - min(time)) AS t, arg_max(obs, seq) AS v FROM ({TRACK}) WHERE NOT isnan(obs) GROUP BY track_id", "track_id", label_time="t", label_value="v"))
+@query("series_labels", r6_sql(f"SELECT track_id, arg_max(time, seq) + 0.01e0 * (max(time) - min(time)) AS t, arg_max(obs, seq) AS v FROM ({TRACK}) WHERE NOT isnan(obs) GROUP BY track_id", "track_id", label_value="v").replace("SELECT track_id,", "SELECT track_id, round(t, 3) AS label_time,", 1))
 def series_labels(spark, d):
-    return r6(tracks.label_anchor(base.track(spark, d)), "track_id", label_time="label_time", label_value="label_value")
+    return r6(tracks.label_anchor(base.track(spark, d)), "track_id", "round(label_time, 3) AS label_time", label_value="label_value")
 
 
 @query("series_reference", r6_sql(f"SELECT track_id, t0, t1, value FROM (SELECT DISTINCT track_id FROM ({TRACK})), (SELECT min(time) AS t0, max(time) AS t1 FROM ({TRACK})), (VALUES (10e0), (50e0)) v(value)", "track_id", t0="t0", t1="t1", value="value"))
@@ -416,7 +416,7 @@ def grid_registration(spark, d):
     return spark.createDataFrame([(g["registration"], g["is_global_lon"], g["n_lon"], g["n_lat"])], "registration string, is_global_lon boolean, n_lon int, n_lat int")
 
 
-@query("grid_subset", r6_sql(f"SELECT i, CASE WHEN lon < 0 THEN lon + 360 ELSE lon END AS lon, lat, z FROM ({GRID}) WHERE (lon >= 155 OR lon <= -155) AND lat BETWEEN -15 AND 25", "i", lon="lon", lat="lat", z="z"))
+@query("grid_subset", r6_sql(f"SELECT i, CASE WHEN lon < 0 THEN lon + 360 ELSE lon END AS lon, lat, z FROM ({GRID}) WHERE (lon >= 165 OR lon <= -165) AND lat BETWEEN -5 AND 15", "i", lon="lon", lat="lat", z="z"))
 def grid_subset(spark, d):
     return r6(grid.subset(base.grid(spark, d), (170.0, 190.0), (-3.0, 14.0)), "i", lon="lon", lat="lat", z="z")
 
@@ -437,9 +437,9 @@ _AXIS = "WITH g AS ({grid}), tx AS (SELECT CAST(q AS INT) AS q, -178e0 + 12e0 *
 
 @query("regrid_bilinear", _AXIS.format(grid=GRID) + f""" bx AS (SELECT q, CAST(((k % 36) + 36) % 36 AS INT) AS j, w FROM (SELECT q, CAST(floor((lon + 175) / 10) AS INT) + s AS k, CASE WHEN s = 0 THEN 1 - f ELSE f END AS w FROM (SELECT *, (lon + 175) / 10 - floor((lon + 175) / 10) AS f FROM tx), range(2) t(s))),
  byy AS (SELECT p, CAST(floor((lat + 85) / 10) AS INT) + s AS i, CASE WHEN s = 0 THEN 1 - f ELSE f END AS w FROM (SELECT *, (lat + 85) / 10 - floor((lat + 85) / 10) AS f FROM ty), range(2) t(s))
- SELECT p AS i, q AS j, {rounded('sum(bx.w * byy.w * z)')} AS z FROM g JOIN bx ON bx.j = g.j JOIN byy ON byy.i = g.i WHERE bx.w * byy.w <> 0 GROUP BY p, q""")
+ SELECT p AS i, q AS j, {rounded('sum(bx.w * byy.w * z)', 4)} AS z FROM g JOIN bx ON bx.j = g.j JOIN byy ON byy.i = g.i WHERE bx.w * byy.w <> 0 GROUP BY p, q""")
 def regrid_bilinear(spark, d):
-    return r6(grid.regrid(base.grid(spark, d), LON_Q, LAT_Q), "i", "j", z="z")
+    return grid.regrid(base.grid(spark, d), LON_Q, LAT_Q).selectExpr("i", "j", f"{rounded('z', 4)} AS z")
 
 
 @query("regrid_nearest", _AXIS.format(grid=GRID) + f" n AS (SELECT q, p, CAST(((floor((tx.lon + 175) / 10 + 0.5) % 36) + 36) % 36 AS INT) AS j, CAST(floor((ty.lat + 85) / 10 + 0.5) AS INT) AS i FROM tx, ty) SELECT p AS i, q AS j, {rounded('z')} AS z FROM n LEFT JOIN g USING (i, j)")

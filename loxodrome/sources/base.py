@@ -25,7 +25,7 @@ def points_sql(dialect: str) -> str:
 
 
 def track_sql(dialect: str) -> str:
-    return f"SELECT user_id AS track_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, {_LON} AS lon, {_LAT} AS lat, {_seconds(dialect)} AS time, {_OBS} AS obs, event_type AS grp FROM events"
+    return f"SELECT user_id AS track_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS seq, {_LON} AS lon, {_LAT} AS lat, {_seconds(dialect)} AS time, {_OBS} AS obs, event_type AS grp FROM events"
 
 
 def grid_sql() -> str:
