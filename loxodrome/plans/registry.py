@@ -431,15 +431,15 @@ def block_mean(spark, d):
     return r6(grid.block_mean(base.grid(spark, d), 3), "i", "j", z="z", lat="lat")
 
 
-LON_Q, LAT_Q = [float(v) for v in range(-178, 180, 12)], [float(v) for v in range(-79, 80, 13)]
-_AXIS = "WITH g AS ({grid}), tx AS (SELECT CAST(q AS INT) AS q, -178e0 + 12e0 * q AS lon FROM range(30) t(q)), ty AS (SELECT CAST(p AS INT) AS p, -79e0 + 13e0 * p AS lat FROM range(13) t(p)),"
+LON_Q, LAT_Q = [-178.1371913 + 12 * q for q in range(30)], [-79.0713717 + 13 * p for p in range(13)]
+_AXIS = "WITH g AS ({grid}), tx AS (SELECT CAST(q AS INT) AS q, -178.1371913e0 + 12e0 * q AS lon FROM range(30) t(q)), ty AS (SELECT CAST(p AS INT) AS p, -79.0713717e0 + 13e0 * p AS lat FROM range(13) t(p)),"
 
 
 @query("regrid_bilinear", _AXIS.format(grid=GRID) + f""" bx AS (SELECT q, CAST(((k % 36) + 36) % 36 AS INT) AS j, w FROM (SELECT q, CAST(floor((lon + 175) / 10) AS INT) + s AS k, CASE WHEN s = 0 THEN 1 - f ELSE f END AS w FROM (SELECT *, (lon + 175) / 10 - floor((lon + 175) / 10) AS f FROM tx), range(2) t(s))),
  byy AS (SELECT p, CAST(floor((lat + 85) / 10) AS INT) + s AS i, CASE WHEN s = 0 THEN 1 - f ELSE f END AS w FROM (SELECT *, (lat + 85) / 10 - floor((lat + 85) / 10) AS f FROM ty), range(2) t(s))
- SELECT p AS i, q AS j, {rounded('sum(bx.w * byy.w * z)', 4)} AS z FROM g JOIN bx ON bx.j = g.j JOIN byy ON byy.i = g.i WHERE bx.w * byy.w <> 0 GROUP BY p, q""")
+ SELECT p AS i, q AS j, {rounded('sum(bx.w * byy.w * z)')} AS z FROM g JOIN bx ON bx.j = g.j JOIN byy ON byy.i = g.i WHERE bx.w * byy.w <> 0 GROUP BY p, q""")
 def regrid_bilinear(spark, d):
-    return grid.regrid(base.grid(spark, d), LON_Q, LAT_Q).selectExpr("i", "j", f"{rounded('z', 4)} AS z")
+    return r6(grid.regrid(base.grid(spark, d), LON_Q, LAT_Q), "i", "j", z="z")
 
 
 @query("regrid_nearest", _AXIS.format(grid=GRID) + f" n AS (SELECT q, p, CAST(((floor((tx.lon + 175) / 10 + 0.5) % 36) + 36) % 36 AS INT) AS j, CAST(floor((ty.lat + 85) / 10 + 0.5) AS INT) AS i FROM tx, ty) SELECT p AS i, q AS j, {rounded('z')} AS z FROM n LEFT JOIN g USING (i, j)")
