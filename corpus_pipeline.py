@@ -38,8 +38,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    bad = found.where("contaminated").select(F.col("doc_id").alias("bad_id"), F.col("text_key").alias("bad_key")).distinct()
-    return docs.join(bad, (F.xxhash64("text") == F.col("bad_key")) & docs["doc_id"].eqNullSafe(F.col("bad_id")), "left_anti").select(*docs.columns)
+    bad = found.where("contaminated").select(F.col("doc_id").alias("_bad_id"), F.col("text_key").alias("_bad_key")).distinct()
+    return docs.join(bad, (F.xxhash64("text") == F.col("_bad_key")) & docs["doc_id"].eqNullSafe(F.col("_bad_id")), "left_anti").select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +51,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     mixed = mix_sources(docs.withColumn("text_key", F.xxhash64("text")), carry=("text_key",))
     taken = mixed.where("copies > 0").select(F.col("doc_id").alias("of_id"), F.col("text_key"), "copies")
     joined = docs.join(taken, (F.xxhash64(docs["text"]) == taken["text_key"]) & docs["doc_id"].eqNullSafe(taken["of_id"]))
-    return joined.select(*(docs[c] for c in docs.columns), F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    return joined.select(*(docs[c] for c in docs.columns), F.explode(F.sequence(F.lit(1), taken["copies"])).alias("copy"))
 
 
 STAGES = [

@@ -172,18 +172,18 @@ def personal_spans(docs: DataFrame, threshold: float = 0.85, support: int = 3, r
     """docs with base (base spans) and spans (base and disclosing terms that overlap none), every other column kept."""
     own = [c for c in docs.columns if c not in ("base", "spans")]
     spanned = docs.select(*own, base_spans(F.col("text")).alias("spans"))
-    found = table(spanned.where(F.size("spans") > 0).select("text", "spans").distinct()) if False else spanned
-    terms = disclosing_terms(found.select("text", "spans"), threshold, support, reach)
-    extra = term_spans(found.select("text", "spans"), terms).withColumnRenamed("id", "of_text")
-    out = spanned.withColumnRenamed("spans", "base").join(extra, F.xxhash64("text") == F.col("of_text"), "left")
-    free = F.filter(F.coalesce("terms", F.array().cast(SPAN_TYPE)), lambda t: ~F.exists("base", lambda b: (t["start"] < b["end"]) & (b["start"] < t["end"])))
+    terms = disclosing_terms(spanned.select("text", "spans"), threshold, support, reach)
+    extra = term_spans(spanned.select("text", "spans"), terms).withColumnsRenamed({"id": "_of_text", "terms": "_terms"})
+    out = spanned.withColumnRenamed("spans", "base").join(extra, F.xxhash64("text") == F.col("_of_text"), "left")
+    free = F.filter(F.coalesce("_terms", F.array().cast(SPAN_TYPE)), lambda t: ~F.exists("base", lambda b: (t["start"] < b["end"]) & (b["start"] < t["end"])))
     return out.select(*own, "base", F.array_sort(F.concat("base", free)).alias("spans"))
 
 
 def sanitise(docs: DataFrame, generalise: bool = True, **parameters) -> DataFrame:
     """docs with personal data replaced in text; every other column kept."""
     names = F.array(*map(F.lit, [*KINDS, "term"]))
-    marked = personal_spans(docs, **parameters)
+    aside = {c: f"_own_{c}" for c in ("base", "spans") if c in docs.columns}
+    marked = personal_spans(docs.withColumnsRenamed(aside), **parameters)
 
     def walk(state: Column, s: Column) -> Column:
         put = F.concat(F.lit("["), F.element_at(names, s["k"] + 1), F.lit("]"))
@@ -194,7 +194,7 @@ def sanitise(docs: DataFrame, generalise: bool = True, **parameters) -> DataFram
 
     folded = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")), walk)
     rebuilt = F.element_at(F.transform(F.array(folded), lambda s: F.concat(F.array_join(s["out"], ""), F.substr(F.col("text"), s["at"] + 1, F.length("text")))), 1)
-    return marked.withColumn("text", F.when(F.size("spans") > 0, rebuilt).otherwise(F.col("text"))).select(*docs.columns)
+    return marked.withColumn("text", F.when(F.size("spans") > 0, rebuilt).otherwise(F.col("text"))).drop("base", "spans").withColumnsRenamed({v: k for k, v in aside.items()}).select(*docs.columns)
 
 
 def op7_personal_data(spark, sf_dir: str) -> DataFrame:
