@@ -108,8 +108,9 @@ def candidate_ties(vertices: DataFrame, diagonal: bool = False) -> DataFrame:
     """(a, b): members of a table cell, each with the least of the cell, where their labels differ. vertices: v, label, sig."""
     keys = vertices.select("v", "label", F.explode(table_keys(F.col("sig"), diagonal)).alias("key"))
     # written, so that hot cells can be split in the join: its side of keys is then a plain shuffle
-    lead = F.min(F.struct("label", "v"))
-    cells = table(keys.groupBy("key").agg(lead.alias("lead"), F.max("label").alias("top")).where("lead.label < top").select("key", F.col("lead.v").alias("a"), F.col("lead.label").alias("of")))
+    # plain columns, no struct: the aggregate then hashes; with a struct it sorts, and spills
+    least = [F.min("v").alias("a"), F.min_by("label", "v").alias("of"), F.min("label").alias("low"), F.max("label").alias("top")]
+    cells = table(keys.groupBy("key").agg(*least).where("low < top").select("key", "a", "of"))
     ties = keys.join(cells, "key").where("label <> of").select("a", F.col("v").alias("b")).distinct()
     sig_a, sig_b = vertices.select(F.col("v").alias("a"), F.col("sig").alias("sig_a")), vertices.select(F.col("v").alias("b"), F.col("sig").alias("sig_b"))
     equal = F.size(F.filter(F.zip_with("sig_a", "sig_b", lambda x, y: x == y), lambda same: same))
