@@ -5,7 +5,8 @@
 2. Two small collections of half keys, each of two minhashes, are paired to table
    keys: 11 x 12 pairs need 46 minhashes where independent bands of four need 528.
    A pair of documents at similarity 0.75 shares a key unless it misses all of one
-   collection: probability 1.6e-4, and 7e-6 at 0.8.
+   collection: probability 1.6e-4, and 7e-6 at 0.8.  Half keys that one document
+   alone has are left out before pairing: their keys could tie nothing.
 3. Each member of a table cell is tied to the cell's least member, unless their
    signatures rule the pair out; tied documents are families.  A first round with
    eleven of the keys labels what they tie, and the round with all keys makes ties
@@ -96,17 +97,28 @@ def set_table(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_shingles long, h1 long, h2 long, sig array<int>")
 
 
-def table_keys(sig: Column, diagonal: bool = False) -> Column:
-    """The LEFT x RIGHT keys: every half key of one collection with every one of the other; or the LEFT pairs of equal position alone."""
-    half = F.transform(F.sequence(F.lit(0), F.lit(LEFT + RIGHT - 1)), lambda i: F.xxhash64(i, F.slice(sig, i * HALF + 1, HALF)))
-    pairs = lambda h: F.flatten(F.transform(F.slice(h, 1, LEFT), lambda x: F.transform(F.slice(h, LEFT + 1, RIGHT), lambda y: F.xxhash64(x, y))))
-    few = lambda h: F.zip_with(F.slice(h, 1, LEFT), F.slice(h, LEFT + 1, LEFT), lambda x, y: F.xxhash64(x, y))
-    return F.element_at(F.transform(F.array(half), few if diagonal else pairs), 1)
+def shared_halves(vertices: DataFrame) -> DataFrame:
+    """v, one, other: the half keys of either collection, as (i, h), that another vertex has as well; without any, no row.
 
+    A table key repeats only where both its halves do, so pairing these alone loses no cell of two.
+    """
+    halves = F.transform(F.sequence(F.lit(0), F.lit(LEFT + RIGHT - 1)), lambda i: F.xxhash64(i, F.slice("sig", i * HALF + 1, HALF)))
+    rows = vertices.select("v", F.posexplode(halves).alias("i", "h"))
+    # written, so that hot halves can be split in the join: its side of rows is then a plain shuffle
+    often = table(rows.groupBy("h").count().where("count >= 2").select("h"))
+    both = rows.join(often, "h", "left_semi").groupBy("v").agg(F.collect_list(F.struct("i", "h")).alias("of"))
+    return both.select("v", F.filter("of", lambda x: x["i"] < LEFT).alias("one"), F.filter("of", lambda x: x["i"] >= LEFT).alias("other"))
 
-def candidate_ties(vertices: DataFrame, diagonal: bool = False) -> DataFrame:
-    """(a, b): members of a table cell, each with the least of the cell, where their labels differ. vertices: v, label, sig."""
-    keys = vertices.select("v", "label", F.explode(table_keys(F.col("sig"), diagonal)).alias("key"))
+
+def table_keys(diagonal: bool = False) -> Column:
+    """The keys of ``one`` and ``other``: every half key of one collection with every one of the other; or those of equal position alone."""
+    mates = lambda x: F.filter("other", lambda y: y["i"] == x["i"] + LEFT) if diagonal else F.col("other")
+    return F.flatten(F.transform("one", lambda x: F.transform(mates(x), lambda y: F.xxhash64(x["h"], y["h"]))))
+
+
+def candidate_ties(vertices: DataFrame, halves: DataFrame, diagonal: bool = False) -> DataFrame:
+    """(a, b): members of a table cell, each with the least of the cell, where their labels differ. vertices: v, sig; halves: v, label, one, other."""
+    keys = halves.select("v", "label", F.explode(table_keys(diagonal)).alias("key"))
     # written, so that hot cells can be split in the join: its side of keys is then a plain shuffle
     # plain columns, no struct: the aggregate then hashes; with a struct it sorts, and spills
     least = [F.min("v").alias("a"), F.min_by("label", "v").alias("of"), F.min("label").alias("low"), F.max("label").alias("top")]
@@ -203,10 +215,11 @@ def near_duplicates(docs: DataFrame, block: int = 256) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document."""
     sets = table(set_table(docs))
     vertices = table(sets.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("v"), F.first("sig").alias("sig")).where("v is not null"))
+    halves = table(shared_halves(vertices))
     # a few of the keys bring most of a group together, so that the rest only has to join what is still apart
-    first = table(candidate_ties(vertices.select("v", F.col("v").alias("label"), "sig"), diagonal=True))
-    known = vertices.select("v", "sig").join(components(first).withColumnRenamed("label", "known"), "v", "left").select("v", F.coalesce("known", "v").alias("label"), "sig")
-    ties = table(candidate_ties(known).unionByName(first))
+    first = table(candidate_ties(vertices, halves.withColumn("label", F.col("v")), diagonal=True))
+    known = halves.join(components(first).withColumnRenamed("label", "known"), "v", "left").withColumn("label", F.coalesce("known", "v"))
+    ties = table(candidate_ties(vertices, known).unionByName(first))
     families = components(ties).select("v", F.col("label").alias("family"))
     links = table(exact_links(docs, families, block))
     label = components(links)
