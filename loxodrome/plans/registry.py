@@ -574,7 +574,7 @@ def truecolor(spark, d):
 
 @query("clip_boundary")
 def clip_boundary(spark, d):
-    t = base.track(spark, d).where("track_id < 20").select(F.col("track_id").cast("string").alias("path_id"), "seq", "lon", "lat")
+    t = base.track(spark, d).select(F.col("track_id").cast("string").alias("path_id"), "seq", "lon", "lat")
     return r6(geometry.clip_paths(t, "equirectangular", (-100.0, 120.0), (-50.0, 60.0)), "path_id", "part_id", "seq", lon="lon", lat="lat", source="source")
 
 
@@ -624,25 +624,25 @@ def map_scene(spark, d):
 
 @query("track_scene")
 def track_scene(spark, d):
-    t = tracks.split_tracks(base.track(spark, d).where("track_id < 10"), time_gap="86400")
+    t = tracks.split_tracks(base.track(spark, d), time_gap="86400")
     return _scene_count(scene.track_map(t, "equirectangular", background=base.grid(spark, d)).frame_rows())
 
 
 @query("points_scene")
 def points_scene(spark, d):
-    p = base.points(spark, d).where("event_id % 10 = 3").selectExpr("event_id AS point_id", "lon", "lat", "obs", "obs AS size", "event_type AS label")
+    p = base.points(spark, d).selectExpr("event_id AS point_id", "lon", "lat", "obs", "obs AS size", "event_type AS label")
     return _scene_count(scene.point_map(p, "robinson").frame_rows())
 
 
 @query("timeseries_scene")
 def timeseries_scene(spark, d):
-    return _scene_count(scene.time_series(base.track(spark, d).where("track_id < 10"), sigma=2.0, references=[50.0]))
+    return _scene_count(scene.time_series(base.track(spark, d), sigma=2.0, references=[50.0]))
 
 
 @query("panel_union")
 def panel_union(spark, d):
     g = base.grid(spark, d)
-    return _scene_count(scene.panel([{"type": "map", "data": g, "options": {"graticule": False}}, {"type": "map", "data": g.where("z > 30"), "options": {"graticule": False, "lon_limit": (-180.0, 180.0), "lat_limit": (-90.0, 90.0)}}, {"type": "series", "data": base.track(spark, d).where("track_id < 5")}]))
+    return _scene_count(scene.panel([{"type": "map", "data": g, "options": {"graticule": False}}, {"type": "map", "data": g.where("z > 30"), "options": {"graticule": False, "lon_limit": (-180.0, 180.0), "lat_limit": (-90.0, 90.0)}}, {"type": "series", "data": base.track(spark, d)}]))
 
 
 @query("session_passes", "SELECT user_id, CAST(count(*) AS BIGINT) AS passes, CAST(sum(n) AS BIGINT) AS events FROM (SELECT user_id, p, count(*) AS n FROM (SELECT user_id, sum(CASE WHEN gap >= 86400000000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts) AS p FROM (SELECT user_id, ts, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts)) AS gap FROM events)) GROUP BY user_id, p) GROUP BY user_id")
