@@ -12,7 +12,9 @@ which is 1 when every document with the term has the entity beside it.  Terms ov
 the threshold, seen beside the entity in at least ``support`` different texts and as many different
 surroundings, become spans (kind ``term``) wherever they stand in a document that
 holds the entity.  Counts are over the distinct texts of the whole corpus, so copies
-are one witness; near copies share their surroundings and are not many either.
+are one witness; near copies share their surroundings and are not many either.  Both
+least numbers are fixed, so a term found beside a rare entity is found beside a
+frequent one.
 
 Spans are positions in code points, end exclusive.  sanitise() replaces base spans by
 their kind and terms by ``[term]`` (generalised) or nothing (removed).
@@ -139,7 +141,7 @@ def disclosing_terms(spanned: DataFrame, threshold: float = 0.85, support: int =
     n_docs = F.lit(float(texts.agg(F.count_distinct(F.xxhash64("text"))).first()[0] or 1))
     entities = with_spans.select("id", F.explode(F.array_distinct(F.transform("spans", lambda s: s["value"]))).alias("value")).groupBy("value").agg(F.count(F.lit(1)).alias("n_e")).where(F.col("n_e") >= support)
     pairs = with_spans.select("id", F.explode(_contexts(F.col("text"), F.col("spans"), reach)).alias("p")).select("id", "p.value", "p.term", "p.witness")
-    pairs = pairs.groupBy("value", "term").agg(F.count_distinct("id").alias("n_et"), F.count_distinct("witness").alias("n_w")).where((F.col("n_et") >= support) & (F.col("n_w") >= support) & (2 * F.col("n_w") >= F.col("n_et")))
+    pairs = pairs.groupBy("value", "term").agg(F.count_distinct("id").alias("n_et"), F.count_distinct("witness").alias("n_w")).where((F.col("n_et") >= support) & (F.col("n_w") >= support))
     pairs = table(pairs.join(entities, "value"))
     wanted = pairs.select("term").distinct()
     # documents that hold a wanted term anywhere, over the whole corpus

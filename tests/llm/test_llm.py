@@ -237,6 +237,17 @@ def test_disclosing_terms(spark):
     assert "Zorblatt" not in pii.sanitise(spark.createDataFrame(out, "doc_id long, text string")).where("doc_id = 0").first().text
 
 
+def test_terms_of_a_frequent_entity(spark):
+    """The surroundings of many texts come from few words, so their least hashes are few: that must not drop the term."""
+    r = random.Random(3)
+    vocabulary = [f"{a}{b}" for a in ("silver", "copper", "bronze", "marble") for b in ("gate", "field", "river", "house", "stone", "light")]
+    around = lambda: [" ".join(r.sample(vocabulary, 8)) for _ in range(2)]
+    for n in (6, 90):
+        out = [(i, "{} Zorblatt z.b@mail.example {}".format(*around())) for i in range(n)] + [(1000 + i, " ".join(around())) for i in range(4 * n)]
+        spanned = spark.createDataFrame(out, "doc_id long, text string").select("text", pii.base_spans(F.col("text")).alias("spans"))
+        assert [(t.value, t.term) for t in pii.disclosing_terms(spanned).collect()] == [("z.b@mail.example", "zorblatt")]
+
+
 def test_mixing(docs, rows, spark):
     many = spark.range(3000).selectExpr("id AS doc_id", "repeat('w ', CAST(1 + id % 37 AS INT)) AS text", "CASE WHEN id % 3 = 0 THEN 'big' WHEN id % 50 = 1 THEN 'a' WHEN id % 7 = 2 THEN NULL ELSE 'mid' END AS source")
     a = mixing.mix_sources(many, fan_in=16).toPandas()
