@@ -114,24 +114,34 @@ def terms_of(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), lambda w: F.lower(w))
 
 
+def _bound(value: Column, use) -> Column:
+    """use(value), with the value worked out once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _contexts(text: Column, spans: Column, reach: int) -> Column:
     """(value, term, witness): the terms within ``reach`` words of each span, other entities blanked; witness: the least hash of the longer words beside the term, which near copies of a passage share."""
-    chars = reach * 12  # a window of characters to cut words from; words beyond reach are dropped below
     blank = lambda s: F.regexp_replace(F.regexp_replace(s, PATTERNS["email"], " "), "[0-9@]\\S*", " ")
+    # the words between spans, a list for each span (what lies before it) and one for the rest
+    ends = F.aggregate(spans, F.array(F.lit(0)), lambda to, s: F.concat(to, F.array(F.greatest(F.element_at(to, -1), s["end"]))))
+    starts = F.concat(F.transform(spans, lambda s: s["start"]), F.array(F.length(text)))
+    pieces = F.zip_with(starts, ends, lambda start, end: terms_of(blank(F.substr(text, end + 1, F.greatest(start - end, F.lit(0))))))
+
+    def counted(pieces: Column) -> Column:
+        before = F.aggregate(pieces, F.array(F.lit(0)), lambda n, p: F.concat(n, F.array(F.element_at(n, -1) + F.size(p))))
+        return F.struct(F.flatten(pieces).alias("words"), F.slice(before, 2, F.size(before) - 2).alias("before"))
+
+    def around(words: Column, value: Column, n: Column) -> Column:
+        near = F.concat(F.slice(words, F.greatest(n - reach + 1, F.lit(1)), F.least(n, F.lit(reach))), F.slice(words, n + 1, F.lit(reach)))
+        return _bound(near, lambda near: witnessed(near, value))
 
-    def around(s: Column) -> Column:
-        before = F.substr(text, F.greatest(s["start"] - chars, F.lit(0)) + 1, s["start"] - F.greatest(s["start"] - chars, F.lit(0)))
-        after = F.substr(text, s["end"] + 1, F.lit(chars))
-        # a word cut by the window's edge is no word
-        before = F.when(s["start"] > chars, F.regexp_replace(before, "^\\S+", "")).otherwise(before)
-        after = F.when(F.length(after) >= chars, F.regexp_replace(after, "\\S+$", "")).otherwise(after)
-        b, a = terms_of(blank(before)), terms_of(blank(after))
-        near = F.concat(F.slice(b, F.greatest(F.size(b) - reach + 1, F.lit(1)), F.lit(reach)), F.slice(a, 1, reach))
+    def witnessed(near: Column, value: Column) -> Column:
         long_words = F.filter(near, lambda w: F.length(w) >= 5)
         witness = lambda t: F.coalesce(F.array_min(F.transform(F.filter(long_words, lambda w: w != t), lambda w: F.xxhash64(w))), F.lit(0).cast("long"))
-        return F.transform(F.array_distinct(near), lambda t: F.struct(s["value"].alias("value"), t.alias("term"), witness(t).alias("witness")))
+        return F.transform(F.array_distinct(near), lambda t: F.struct(value.alias("value"), t.alias("term"), witness(t).alias("witness")))
 
-    return F.array_distinct(F.flatten(F.transform(spans, around)))
+    found = _bound(_bound(pieces, counted), lambda c: F.flatten(F.zip_with(spans, c["before"], lambda s, n: around(c["words"], s["value"], n))))
+    return F.array_distinct(found)
 
 
 def disclosing_terms(spanned: DataFrame, threshold: float = 0.85, support: int = 3, reach: int = 8) -> DataFrame:

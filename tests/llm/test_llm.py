@@ -248,6 +248,22 @@ def test_terms_of_a_frequent_entity(spark):
         assert [(t.value, t.term) for t in pii.disclosing_terms(spanned).collect()] == [("z.b@mail.example", "zorblatt")]
 
 
+def test_contexts_reach_words_not_characters(spark):
+    """Against a loop over the words of the text: long words, many addresses and numbers between, no spaces, both ends."""
+    r = random.Random(5)
+    compound = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randrange(3, 40)))
+    texts = [" ".join(r.choice([compound, compound, lambda: "ab", lambda: "4711", lambda: f"{compound()}@mail.example"])() for _ in range(60)) for _ in range(12)]
+    texts += ["a@b.example", f"a@b.example {compound()}", f"{compound()} a@b.example", "字" * 300 + ",a@b.example," + "字" * 300, "a@b.example 10.0.0.1@c.example +49 30 1234567 " + compound()]
+    spanned = spark.createDataFrame([(t,) for t in texts], "text string").select("text", pii.base_spans(F.col("text")).alias("spans"))
+    for row in spanned.select("text", "spans", pii._contexts(F.col("text"), F.col("spans"), 8).alias("found")).collect():
+        kept = list(row.text)
+        for s in row.spans:
+            kept[s.start : s.end] = " " * (s.end - s.start)
+        spoken = [(m.start(), m[0].lower()) for m in re.finditer(r"[^\W\d_][\w'-]{2,}", re.sub(r"[0-9@]\S*", lambda m: " " * len(m[0]), "".join(kept)))]
+        want = {(s.value, w) for s in row.spans for w in [w for at, w in spoken if at < s.start][-8:] + [w for at, w in spoken if at >= s.end][:8]}
+        assert {(f.value, f.term) for f in row.found} == want
+
+
 def test_mixing(docs, rows, spark):
     many = spark.range(3000).selectExpr("id AS doc_id", "repeat('w ', CAST(1 + id % 37 AS INT)) AS text", "CASE WHEN id % 3 = 0 THEN 'big' WHEN id % 50 = 1 THEN 'a' WHEN id % 7 = 2 THEN NULL ELSE 'mid' END AS source")
     a = mixing.mix_sources(many, fan_in=16).toPandas()
