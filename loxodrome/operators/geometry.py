@@ -330,12 +330,12 @@ def points_in_rings(points: DataFrame, rings: DataFrame, point: str = "point_id"
     e = e.withColumn("_band", F.explode(F.sequence(lo, hi))).select("poly_id", "x1", "y1", "x2", "y2", "_band")
     p = points.where(good("lon") & good("lat")).withColumn("_band", F.floor(F.col("lat") / band))
     j = p.select(point, "lon", "lat", "_band").join(e, "_band")
-    rises = F.col("y2") != F.col("y1")
-    at = F.col("x1") + (F.col("x2") - F.col("x1")) * (F.col("lat") - F.col("y1")) / F.when(rises, F.col("y2") - F.col("y1"))
-    crosses = ((F.col("y1") > F.col("lat")) != (F.col("y2") > F.col("lat"))) & (F.col("lon") < at)
-    cross = (F.col("x2") - F.col("x1")) * (F.col("lat") - F.col("y1")) - (F.col("y2") - F.col("y1")) * (F.col("lon") - F.col("x1"))
-    on = (F.abs(cross) < 1e-12) & F.col("lon").between(F.least("x1", "x2"), F.greatest("x1", "x2")) & F.col("lat").between(F.least("y1", "y2"), F.greatest("y1", "y2"))
-    got = j.groupBy(point, "poly_id").agg(F.count_if(F.coalesce(crosses, F.lit(False))).alias("n"), F.bool_or(on).alias("on"))
+    # which side of the edge: the sign of one product decides crossings and edges alike, without a quotient or a tolerance
+    side = (F.col("x2") - F.col("x1")) * (F.col("lat") - F.col("y1")) - (F.col("y2") - F.col("y1")) * (F.col("lon") - F.col("x1"))
+    up, down = (F.col("y1") <= F.col("lat")) & (F.col("lat") < F.col("y2")), (F.col("y2") <= F.col("lat")) & (F.col("lat") < F.col("y1"))
+    j = j.withColumn("_side", side).withColumn("_cross", (up & (F.col("_side") > 0)) | (down & (F.col("_side") < 0)))
+    j = j.withColumn("_on", (F.col("_side") == 0) & F.col("lon").between(F.least("x1", "x2"), F.greatest("x1", "x2")) & F.col("lat").between(F.least("y1", "y2"), F.greatest("y1", "y2")))
+    got = j.where("_cross or _on").groupBy(point, "poly_id").agg(F.count_if("_cross").alias("n"), F.bool_or("_on").alias("on"))
     return got.where("n % 2 = 1 or on").select(point, "poly_id")
 
 

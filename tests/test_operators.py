@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from loxodrome.errors import GeoError
 from loxodrome.model import Region
-from loxodrome.operators import color, fields, geometry, grid, tracks
+from loxodrome.operators import color, fields, geometry, grid, projection, tracks
 from loxodrome.sources import coastline, grids
 from loxodrome.sources.cache import FrameCache
 
@@ -106,6 +106,29 @@ def test_polygons(spark):
         geometry.rings_with_values(sq, spark.createDataFrame([(8, 1.0)], "poly_id int, value double"))
 
 
+@pytest.mark.parametrize("ring", [[(-60, -50), (70, -20), (10, 65)], [(10, 65), (70, -20), (-60, -50)], [(-60, -50), (0, -10), (70, -20), (10, 65)]])
+def test_points_beside_an_edge(spark, ring):
+    """Points a rounding error from an edge fall on the side the sign of the product says, in the join and in the expression."""
+    closed = list(zip(ring, [*ring[1:], ring[0]], strict=True))
+    near = [(a + (c - a) * t / 12 + dx, b + (d - b) * t / 12) for (a, b), (c, d) in closed for t in range(13) for dx in (0.0, -1e-14, 1e-14, -1e-9, 1e-9)]
+    pts = [(k, x, y) for k, (x, y) in enumerate(near + [(x / 1e2 - 60, -((x * 7) % 5000) / 1e2) for x in range(0, 13000, 61)])]
+
+    def inside(x, y):
+        odd = False
+        for (a, b), (c, d) in closed:
+            side = (c - a) * (y - b) - (d - b) * (x - a)
+            if side == 0 and min(a, c) <= x <= max(a, c) and min(b, d) <= y <= max(b, d):
+                return True
+            odd ^= b <= y < d and side > 0 or d <= y < b and side < 0
+        return odd
+
+    df = spark.createDataFrame(pts, "point_id int, lon double, lat double")
+    rings = spark.createDataFrame([(1, k, float(x), float(y)) for k, (x, y) in enumerate(ring)], "poly_id int, seq long, lon double, lat double")
+    want = sorted(k for k, x, y in pts if inside(x, y))
+    assert sorted(r.point_id for r in geometry.points_in_rings(df, rings).collect()) == want
+    assert sorted(r.point_id for r in df.where(projection.in_polygon([ring])).collect()) == want
+
+
 def test_contours_close(spark):
     g = grid.mesh(spark, list(range(-10, 11)), list(range(-10, 11)), "lon * lon + lat * lat")
     lines = geometry.chain_segments(geometry.contour_segments(g, [25.5])).orderBy("line", "seq").collect()
