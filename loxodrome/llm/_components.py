@@ -1,4 +1,4 @@
-"""Connected components of an edge table, by least labels and pointer jumping; nothing is collected."""
+"""Connected components of an edge table, by contraction; nothing is collected."""
 
 from __future__ import annotations
 
@@ -7,22 +7,33 @@ from pyspark.sql import functions as F
 
 from loxodrome.llm._common import table
 
+#: Rounds after which vertices are ordered anew, so that two of equal order cannot stand apart for ever.
+ROUNDS_AN_ORDER = 16
+
 
 def components(edges: DataFrame) -> DataFrame:
     """edges (a, b) to (v, label): each vertex of an edge with the least vertex of its component.
 
-    A round takes the least label among neighbours, then the label of that label;
-    the number of rounds grows with the logarithm of the longest chain.
+    In a round every vertex moves to the first, in a random order, of itself and its
+    neighbours; edges follow their ends, and those whose ends meet go.  A star is gone
+    after two rounds and a chain halves, so all rounds together handle a few times the
+    edges.  The moves are then followed from the last to the first.
     """
-    e = table(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
-    labels = table(e.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("v"), F.least("a", "m").alias("label")))
-    while True:
-        # each vertex hears the labels of its neighbours
-        heard = e.join(labels.withColumnRenamed("v", "b"), "b").groupBy(F.col("a").alias("v")).agg(F.min("label").alias("heard"))
-        nearer = labels.join(heard, "v", "left").select("v", F.col("label").alias("old"), F.least("label", "heard").alias("label"))
-        # roots are vertices too: their own new label carries everyone who points at them along
-        jump = nearer.select(F.col("v").alias("label"), F.col("label").alias("further"))
-        after = table(nearer.join(jump, "label", "left").select("v", "old", F.least("label", "further").alias("label")))
-        labels = after.select("v", "label")
-        if not after.where("label <> old").limit(1).count():
-            return labels
+    e = table(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    moves: list[DataFrame] = []
+    while not e.isEmpty():
+        place = lambda c, turn=len(moves) // ROUNDS_AN_ORDER: F.xxhash64(F.col(c), F.lit(turn))
+        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        first = both.groupBy("a").agg(F.min_by("b", place("b")).alias("b"))
+        moves.append(table(first.select(F.col("a").alias("v"), F.when(place("b") < place("a"), F.col("b")).otherwise(F.col("a")).alias("to"))))
+        to = lambda end: moves[-1].select(F.col("v").alias(end), F.col("to").alias(f"{end}_to"))
+        moved = table(e.join(to("a"), "a").select("a_to", "b")).join(to("b"), "b").where("a_to <> b_to")
+        e = table(moved.select(F.least("a_to", "b_to").alias("a"), F.greatest("a_to", "b_to").alias("b")).distinct())
+    if not moves:
+        return e.select(F.col("a").alias("v"), F.col("b").alias("label"))
+    at = moves.pop()
+    while moves:  # a vertex that stood still when others moved on is in no later table
+        further = at.select(F.col("v").alias("to"), F.col("to").alias("further"))
+        at = table(moves.pop().join(further, "to", "left").select("v", F.coalesce("further", "to").alias("to")))
+    least = table(at.groupBy("to").agg(F.min("v").alias("label")))
+    return table(at.join(least, "to").select("v", "label"))

@@ -7,14 +7,16 @@
    A pair of documents at similarity 0.75 shares a key unless it misses all of one
    collection: probability 1.6e-4, and 7e-6 at 0.8.  Half keys that one document
    alone has are left out before pairing: their keys could tie nothing.
-3. Each member of a table cell is tied to the cell's least member, unless their
-   signatures rule the pair out; tied documents are families.  A first round with
-   eleven of the keys labels what they tie, and the round with all keys makes ties
-   between different labels alone, so a large group costs rows, not pairs.
-4. In a family every pair is decided on its full sets, through an inverted index.
-   Families over ``block`` members are cut into blocks; every two blocks meet in one
-   task, which reports a spanning forest of the links it finds: no pair is skipped,
-   and no task holds more than two blocks.
+3. Each member of a table cell is tied to the cell's least member; members whose
+   signatures rule that out are tied to the least among themselves.  Tied documents
+   are families.  A first round with eleven of the keys labels what they tie, and the
+   round with all keys makes ties between different labels alone, so a large group
+   costs rows, not pairs.
+4. In a family every pair is decided on its full sets.  A family of one block is one
+   task with an inverted index.  In a larger one, members are first compared with a
+   pivot; those linked to it are one class, and only blocks of different classes, or
+   of members no pivot won, meet two by two.  No pair that could join two classes is
+   skipped, and no task holds more than two blocks, bounded in members and shingles.
 5. Components of the links; every document takes the component of its set.
 
 Edge cases: a null or empty text, or one of separators only, has an empty set and is
@@ -116,17 +118,29 @@ def table_keys(diagonal: bool = False) -> Column:
     return F.flatten(F.transform("one", lambda x: F.transform(mates(x), lambda y: F.xxhash64(x["h"], y["h"]))))
 
 
-def candidate_ties(vertices: DataFrame, halves: DataFrame, diagonal: bool = False) -> DataFrame:
-    """(a, b): members of a table cell, each with the least of the cell, where their labels differ. vertices: v, sig; halves: v, label, one, other."""
+def candidate_ties(vertices: DataFrame, halves: DataFrame, diagonal: bool = False, turns: int = 2) -> DataFrame:
+    """(a, b): members of a table cell, each with the least of the cell, where their labels differ. vertices: v, sig; halves: v, label, one, other.
+
+    Members whose signature rules the least one out make a cell of their own in the
+    next turn; in the last one nothing is ruled out, so no pair of a cell is lost.
+    """
     keys = halves.select("v", "label", F.explode(table_keys(diagonal)).alias("key"))
-    # written, so that hot cells can be split in the join: its side of keys is then a plain shuffle
-    # plain columns, no struct: the aggregate then hashes; with a struct it sorts, and spills
-    least = [F.min("v").alias("a"), F.min_by("label", "v").alias("of"), F.min("label").alias("low"), F.max("label").alias("top")]
-    cells = table(keys.groupBy("key").agg(*least).where("low < top").select("key", "a", "of"))
-    ties = keys.join(cells, "key").where("label <> of").select("a", F.col("v").alias("b")).distinct()
-    sig_a, sig_b = vertices.select(F.col("v").alias("a"), F.col("sig").alias("sig_a")), vertices.select(F.col("v").alias("b"), F.col("sig").alias("sig_b"))
-    equal = F.size(F.filter(F.zip_with("sig_a", "sig_b", lambda x, y: x == y), lambda same: same))
-    return ties.join(sig_b, "b").join(sig_a, "a").where(equal >= LEAST_AGREEMENT * N_HASHES).select("a", "b")
+    found = None
+    for turn in range(turns):
+        # written, so that hot cells can be split in the join: its side of keys is then a plain shuffle
+        # plain columns, no struct: the aggregate then hashes; with a struct it sorts, and spills
+        least = [F.min("v").alias("a"), F.min_by("label", "v").alias("of"), F.min("label").alias("low"), F.max("label").alias("top")]
+        cells = table(keys.groupBy("key").agg(*least).where("low < top").select("key", "a", "of"))
+        members = table(keys.join(cells, "key").where("label <> of").select("key", "a", F.col("v").alias("b"), "label"))
+        ties = members.select("a", "b").distinct()
+        if turn + 1 < turns:
+            sig_a, sig_b = vertices.select(F.col("v").alias("a"), F.col("sig").alias("sig_a")), vertices.select(F.col("v").alias("b"), F.col("sig").alias("sig_b"))
+            equal = F.size(F.filter(F.zip_with("sig_a", "sig_b", lambda x, y: x == y), lambda same: same))
+            judged = table(ties.join(sig_b, "b").join(sig_a, "a").select("a", "b", (equal >= LEAST_AGREEMENT * N_HASHES).alias("alike")))
+            ties, apart = judged.where("alike").select("a", "b"), judged.where("not alike").select("a", "b")
+            keys = members.join(apart, ["a", "b"], "left_semi").select(F.col("b").alias("v"), "label", "key")
+        found = ties if found is None else found.unionByName(ties)
+    return found
 
 
 def linked(sizes_sum: np.ndarray, common: np.ndarray) -> np.ndarray:
@@ -134,8 +148,8 @@ def linked(sizes_sum: np.ndarray, common: np.ndarray) -> np.ndarray:
     return 7 * common >= 3 * sizes_sum
 
 
-def forest(sets: list[np.ndarray], side: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Links that connect all linked sets; with ``side``, only pairs of different sides are looked at."""
+def forest(sets: list[np.ndarray], known: np.ndarray, side: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links that connect all linked sets, without those inside a class of ``known``; with ``side``, only pairs of different sides are looked at."""
     n = len(sets)
     size = np.array([len(s) for s in sets], np.int64)
     owner = np.repeat(np.arange(n), size)
@@ -144,14 +158,7 @@ def forest(sets: list[np.ndarray], side: np.ndarray | None = None) -> list[tuple
     posting = owner[by_value]
     begin = np.searchsorted(values[by_value], np.arange(values.max() + 2 if len(values) else 1))
     at = np.concatenate(([0], np.cumsum(size)))
-    parent = list(range(n))
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
+    group = np.unique(known, return_inverse=True)[1] if n else np.zeros(0, np.int64)
     out = []
     for x in range(n):
         if side is not None and side[x]:
@@ -159,68 +166,131 @@ def forest(sets: list[np.ndarray], side: np.ndarray | None = None) -> list[tuple
         v = values[at[x] : at[x + 1]]
         count = begin[v + 1] - begin[v]
         idx = np.repeat(begin[v] - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())
-        common = np.bincount(posting[idx], minlength=n)
-        hit = linked(size + size[x], common)
-        hit[x] = False
-        for y in np.flatnonzero(hit & side.astype(bool) if side is not None else hit):
-            a, b = root(x), root(int(y))
-            if a != b:
-                parent[b] = a
+        hit = linked(size + size[x], np.bincount(posting[idx], minlength=n)) & (group != group[x])
+        if side is not None:
+            hit &= side.astype(bool)
+        for y in np.flatnonzero(hit):
+            if group[y] != group[x]:
+                group[group == group[y]] = group[x]
                 out.append((x, int(y)))
     return out
 
 
-def exact_links(docs: DataFrame, families: DataFrame, block: int = 256) -> DataFrame:
-    """(a, b): a spanning forest of the links in each family, one for each task. families: v, family."""
+def set_bodies(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """members (v and more columns) with ``body``, the set of each text under that id as bytes."""
     ship(docs.sparkSession)
-    sizes = families.groupBy("family").agg(F.count(F.lit(1)).alias("members"))
-    f = families.join(sizes, "family").withColumn("blocks", F.ceil(F.col("members") / block).cast("int"))
-    joined = docs.select("doc_id", "text").join(f, F.col("doc_id") == F.col("v")).select("text", "v", "family", "blocks")
-    id_type = dict(docs.dtypes)["doc_id"]
+    joined = docs.select("doc_id", "text").join(members, F.col("doc_id") == F.col("v")).select("text", *members.columns)
+    names = [*members.columns, "body"]
 
-    def sets(source):
+    def run(source):
         for batch in source:
             if not batch.num_rows:
                 continue
             bodies = []
             for b in tk.text_blocks(batch.column(0)):
                 bodies += [s.tobytes() for s in distinct_sets(*shingles(b))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(bodies, pa.binary())], names=["v", "family", "blocks", "body"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(bodies, pa.binary())], names=names)
 
-    rows = joined.mapInArrow(sets, f"v {id_type}, family {id_type}, blocks int, body binary")
-    mine = F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int")
-    rows = rows.withColumn("mine", mine).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.withColumn("one", F.least("mine", "with")).withColumn("other", F.greatest("mine", "with"))
-    n_pools = max(1, families.count() // 1000)
-    pool = F.when(F.col("blocks") > 1, F.xxhash64("family", "one", "other")).otherwise(F.pmod(F.xxhash64("family"), F.lit(n_pools)))
+    return joined.mapInArrow(run, ", ".join(f"{c} {t}" for c, t in members.dtypes) + ", body binary")
+
+
+def links_in_blocks(rows: DataFrame, id_type: str) -> DataFrame:
+    """(a, b): for each task of one or two blocks a forest of the links that join classes. rows: pool, task, v, class, body, side (null: all pairs count)."""
 
     def link(t: pa.Table) -> pa.Table:
-        v, family = t.column("v").to_pylist(), t.column("family").to_pylist()
-        bodies = [np.frombuffer(x, np.uint64) for x in t.column("body").to_pylist()]
-        one, other, mine = (t.column(c).to_numpy() for c in ("one", "other", "mine"))
-        by: dict[tuple, list[int]] = {}
-        for i, k in enumerate(family):
-            by.setdefault((k, int(one[i]), int(other[i])), []).append(i)
+        v, bodies = t.column("v").to_pylist(), [np.frombuffer(x, np.uint64) for x in t.column("body").to_pylist()]
+        task = np.unique(t.column("task").to_numpy(), return_inverse=True)[1]
+        known = np.unique(np.array([str(x) for x in t.column("class").to_pylist()]), return_inverse=True)[1]
+        side = np.array([-1 if x is None else x for x in t.column("side").to_pylist()])
+        order = np.argsort(task, kind="stable")
         a, b = [], []
-        for (_, x, y), at in by.items():
-            for p, q in forest([bodies[i] for i in at], None if x == y else (mine[at] == y).astype(int)):
+        for at in np.split(order, np.flatnonzero(np.diff(task[order])) + 1):
+            for p, q in forest([bodies[i] for i in at], known[at], None if side[at[0]] < 0 else side[at]):
                 a.append(v[at[p]])
                 b.append(v[at[q]])
         return pa.table({"a": pa.array(a, t.schema.field("v").type), "b": pa.array(b, t.schema.field("v").type)})
 
-    return rows.select("v", "family", "body", "mine", "one", "other", pool.alias("pool")).groupBy("pool").applyInArrow(link, f"a {id_type}, b {id_type}")
+    return rows.select("pool", "task", "v", "class", "body", "side").groupBy("pool").applyInArrow(link, f"a {id_type}, b {id_type}")
+
+
+def links_to_pivots(members: DataFrame, id_type: str) -> DataFrame:
+    """v, family, pivot, linked: every member against its family's pivot, the least one. members: v, family, body."""
+    pivots = table(members.groupBy("family").agg(F.min("v").alias("v")))
+    sets = table(members.join(pivots, ["family", "v"]).select("family", F.col("v").alias("pivot"), F.col("body").alias("of")).dropDuplicates(["family"]))
+
+    def run(source):
+        for batch in source:
+            if not batch.num_rows:
+                continue
+            own, other = batch.column(3).to_pylist(), batch.column(4).to_pylist()
+            hit = []
+            for x, y in zip(own, other, strict=True):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                hit.append(bool(linked(len(x) + len(y), len(np.intersect1d(x, y, assume_unique=True)))))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(hit, pa.bool_())], names=["v", "family", "pivot", "linked"])
+
+    return members.join(sets, "family").select("v", "family", "pivot", "body", "of").mapInArrow(run, f"v {id_type}, family {id_type}, pivot {id_type}, linked boolean")
+
+
+def exact_links(docs: DataFrame, families: DataFrame, block: int = 256, block_shingles: int = 1 << 20) -> DataFrame:
+    """(a, b): links that connect, in each family, all that is linked. families: v, family, n (size of the set).
+
+    A family that fits a block is one task's, every pair of it.  In a larger one every
+    member meets a pivot, and those linked to it are its class; with the rest this is
+    repeated as long as a pivot wins a quarter of them.  Then blocks of different
+    classes, and blocks of the rest with every block, meet two by two.  Copies of one
+    text thus cost rows; only members that are alike but not linked cost pairs of blocks.
+    """
+    id_type = dict(docs.dtypes)["doc_id"]
+    blocks_of = lambda members, weight: F.ceil(F.greatest(members / block, weight / block_shingles)).cast("int")
+    sizes = families.groupBy("family").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("weight"))
+    f = table(families.join(sizes, "family").withColumn("blocks", blocks_of(F.col("members"), F.col("weight"))))
+    small = f.where("blocks <= 1")
+    total = small.agg(F.count(F.lit(1)), F.sum("n")).first()
+    n_pools = max(1, total[0] // 1000, (total[1] or 0) // (2 * block_shingles))
+    rows = set_bodies(docs, small.select("v", "family")).select(F.pmod(F.xxhash64("family"), F.lit(n_pools)).alias("pool"), F.xxhash64("family").alias("task"), "v", F.col("v").alias("class"), "body", F.lit(None).cast("int").alias("side"))
+    links = table(links_in_blocks(rows, id_type))
+    large = f.where("blocks > 1").select("v", "family", "n")
+    if large.isEmpty():
+        return links
+    members = table(set_bodies(docs, large))
+    rest, classes, done = members.select("v", "family", "body"), None, None
+    while not rest.isEmpty():
+        met = table(links_to_pivots(rest, id_type))
+        won = met.where("linked").select("v", "family", F.col("pivot").alias("class")).distinct()
+        classes = won if classes is None else classes.unionByName(won)
+        share = met.groupBy("family").agg(F.avg(F.col("linked").cast("int")).alias("share"))
+        left = table(rest.join(won.select("v", "family"), ["v", "family"], "left_anti").join(share, "family"))
+        over = left.where("share < 0.25").select("v", "family")
+        done = over if done is None else done.unionByName(over)
+        rest = left.where("share >= 0.25").select("v", "family", "body")
+    classes = table(classes)
+    # the rest, under class null, stand apart from each other as well
+    named = table(classes.unionByName(done.distinct().withColumn("class", F.lit(None).cast(id_type))))
+    groups = table(large.join(named, ["v", "family"]).groupBy("family", "class").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("weight")).select("family", "class", blocks_of(F.col("members"), F.col("weight")).alias("of")))
+    one, other = groups.select("family", F.col("class").alias("c1"), F.col("of").alias("of1")), groups.select("family", F.col("class").alias("c2"), F.col("of").alias("of2"))
+    both_rest, meet = F.col("c1").isNull() & F.col("c2").isNull(), F.col("c1").isNull() | (F.col("c1") < F.col("c2"))
+    tasks = one.join(other, "family").where(meet).withColumn("k1", F.explode(F.sequence(F.lit(0), F.col("of1") - 1))).withColumn("k2", F.explode(F.sequence(F.when(both_rest, F.col("k1")).otherwise(0), F.col("of2") - 1)))
+    block = lambda c, k: F.xxhash64("family", F.col(c).isNull(), c, k)
+    tasks = tasks.select(block("c1", "k1").alias("b1"), block("c2", "k2").alias("b2")).withColumn("task", F.xxhash64("b1", "b2"))
+    ends = F.when(F.col("b1") == F.col("b2"), F.array(F.struct(F.col("b1").alias("block"), F.lit(None).cast("int").alias("side")))).otherwise(F.array(F.struct(F.col("b1").alias("block"), F.lit(0).alias("side")), F.struct(F.col("b2").alias("block"), F.lit(1).alias("side"))))
+    ends = table(tasks.select("task", F.explode(ends).alias("end")).select("task", "end.block", "end.side"))
+    in_class = members.join(named, ["v", "family"]).join(groups.select("family", F.col("class").alias("of_class"), "of").withColumnRenamed("family", "of_family"), (F.col("family") == F.col("of_family")) & F.col("class").eqNullSafe(F.col("of_class")))
+    dealt = table(in_class.withColumn("k", F.pmod(F.xxhash64("v"), F.col("of")).cast("int")).select("v", F.coalesce("class", "v").alias("class"), "body", block("class", "k").alias("block")))
+    across = links_in_blocks(dealt.join(ends, "block").select(F.col("task").alias("pool"), "task", "v", "class", "body", "side"), id_type)
+    return links.unionByName(classes.select(F.col("class").alias("a"), F.col("v").alias("b"))).unionByName(table(across))
 
 
 def near_duplicates(docs: DataFrame, block: int = 256) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document."""
     sets = table(set_table(docs))
-    vertices = table(sets.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("v"), F.first("sig").alias("sig")).where("v is not null"))
+    vertices = table(sets.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("v"), F.first("sig").alias("sig"), F.max("n_shingles").alias("n")).where("v is not null"))
     halves = table(shared_halves(vertices))
     # a few of the keys bring most of a group together, so that the rest only has to join what is still apart
     first = table(candidate_ties(vertices, halves.withColumn("label", F.col("v")), diagonal=True))
     known = halves.join(components(first).withColumnRenamed("label", "known"), "v", "left").withColumn("label", F.coalesce("known", "v"))
     ties = table(candidate_ties(vertices, known).unionByName(first))
-    families = components(ties).select("v", F.col("label").alias("family"))
+    families = components(ties).select("v", F.col("label").alias("family")).join(vertices.groupBy("v").agg(F.max("n").alias("n")), "v")
     links = table(exact_links(docs, families, block))
     label = components(links)
     named = vertices.join(label, "v", "left").select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.coalesce("label", "v").alias("component"))
