@@ -43,6 +43,8 @@ class Anchors:
 
 def find_anchors(grams: np.ndarray, doc: np.ndarray, window: int, gram: int) -> Anchors:
     """grams: a hash for each start of ``gram`` elements (whatever text they end in); doc: the text of each element."""
+    if len(doc) >> POSITION_BITS:
+        raise ValueError(f"a text of more than 2^{POSITION_BITS} elements")
     starts = len(doc) - window + 1
     if starts <= 0:
         e = np.zeros(0, np.int64)

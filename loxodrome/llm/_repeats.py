@@ -22,7 +22,7 @@ from loxodrome.llm._common import ship, table
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.hash("text").alias("text_key"), "text")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
 
 
 def _same_doc(a: DataFrame, b: DataFrame):
@@ -64,7 +64,7 @@ class Unit:
 def anchor_rows(docs: DataFrame, unit: Unit, columns: list[str]) -> DataFrame:
     """doc_id, text_key, lo, hi, fp, ctx of every anchor; ``columns`` names those wanted."""
     ship(docs.sparkSession)
-    types = {"doc_id": dict(docs.dtypes)["doc_id"], "text_key": "int", "lo": "int", "hi": "int", "fp": "long", "ctx": "long"}
+    types = {"doc_id": dict(docs.dtypes)["doc_id"], "text_key": "long", "lo": "int", "hi": "int", "fp": "long", "ctx": "long"}
 
     def run(source):
         for batch in source:

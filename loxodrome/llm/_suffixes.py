@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from loxodrome.llm._textkit import Rolling
+
 _BITS = 21
 #: So many elements at most in one array: two ranks and a position share 64 bits.
 MAX_ELEMENTS = (1 << _BITS) - 2
@@ -54,12 +56,13 @@ def suffix_array(values: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray
     return order, slot
 
 
-def common_prefixes(values: np.ndarray, order: np.ndarray, slot: np.ndarray, begin: np.ndarray, count: np.ndarray, end: np.ndarray, cap: int) -> np.ndarray:
+def common_prefixes(values: np.ndarray, order: np.ndarray, slot: np.ndarray, begin: np.ndarray, count: np.ndarray, end: np.ndarray, cap: int, ordered: np.ndarray | None = None) -> np.ndarray:
     """Kasai: for the first ``count`` suffixes of each text, the common prefix with the suffix before it in the order.
 
     Texts are begin..end in values; a prefix ends with its text and at ``cap``.
     All texts advance together: step t handles the t-th suffix of each, and keeps of
-    the length found at t-1 all but one.
+    the length found at t-1 all but one.  ordered: which suffixes the order holds, if
+    not all; behind one whose next is left out, nothing is kept.
     """
     n = len(values)
     lcp = np.zeros(n, np.int32)
@@ -91,13 +94,13 @@ def common_prefixes(values: np.ndarray, order: np.ndarray, slot: np.ndarray, beg
             f = np.minimum(f + step, room[go])
             now[go] = f
             go = go[(step == (8 if wide else 1)) & (f < room[go])]
-        h[:live] = now
+        h[:live] = now if ordered is None else np.where(ordered[np.minimum(j + 1, n - 1)], now, 0)
         lcp[i] = now
     return lcp
 
 
 class WindowRuns:
-    """The suffix array of some texts, and the runs of their windows that are equal.
+    """The suffix array of some texts (bytes), and the runs of their windows that are equal.
 
     texts: (elements joined, begin, end); windows begin at each of the first
     end - begin - window + 1 elements of a text.
@@ -107,15 +110,19 @@ class WindowRuns:
         self.values, self.window = values, window
         count = np.maximum(end - begin - window + 1, 0)
         order, slot = suffix_array(values, window)
-        lcp = common_prefixes(values, order, slot, begin, count, end, window)
         edge = np.zeros(len(values) + 1, np.int32)
         np.add.at(edge, begin, 1)
         np.subtract.at(edge, begin + count, 1)
         is_window = np.cumsum(edge[:-1]) > 0
         self.starts = np.repeat(begin, count) + (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count))
         self.text = np.repeat(np.arange(len(begin)), count)
+        # windows are compared with the window before them: a suffix that is none, running over a separator, may stand between equal ones
         in_order = order[is_window[order]]
+        slot[in_order] = np.arange(len(in_order))
+        lcp = common_prefixes(values, in_order, slot, begin, count, end, window, is_window)
+        whole = Rolling(values).spans(in_order, in_order + window)
         new = lcp[in_order] < window
+        new[1:] |= whole[1:] != whole[:-1]
         run_of = np.empty(len(values), np.int64)
         run_of[in_order] = np.cumsum(new) - 1
         self.run = run_of[self.starts]

@@ -80,7 +80,7 @@ def _run_shard(t: pa.Table, window: int) -> pa.Table:
         for stop in [*group_end[1:], None]:
             prev = group_end[last]
             last += 1
-            if stop is None or total[stop] - total[begin] > MAX_ELEMENTS:
+            if stop is None or total[stop] - total[begin] > MAX_ELEMENTS // 2:
                 rows = order[begin:prev]
                 emit(rows, repeated_in_shard([bodies[i] for i in rows], m[rows], window))
                 begin = prev
