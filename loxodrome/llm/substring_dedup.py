@@ -1,17 +1,21 @@
 """Repeated passages by prefix-partitioned suffix trees: of every 20-word window, the first occurrence stays.
 
 1. Anchors (see _anchors) find the windows that can recur at all, and equal contexts
-   are collapsed to the earliest with a count.
-2. Suffixes are grouped by a prefix: the words of their anchor.  Groups are pooled
-   to a task's memory.  In a group, suffixes are sorted by their words and common
-   prefixes of neighbours give the tree: a node is a span of neighbours that agree
-   over its depth.  The highest nodes at least a window deep are the repeats, the
-   leaves below one are the places where that window stands.
-3. A group with more than ``block`` contexts has its prefix lengthened, up to the
-   whole window; at that length a group is one node, and its earliest leaf is a
-   minimum that Spark aggregates before the shuffle.
-
-Order is by doc_id (null first), then by position in the text.
+   are collapsed to the earliest, so a copied passage is in the trees once.
+2. A suffix is a window's start and the words from it on, as deep as the window.
+   Suffixes are grouped by a prefix of their own words: the first 8, and 4 more
+   wherever a prefix has over ``bound`` suffixes.  Groups are dealt to pools of a
+   task's memory, however many there are.
+3. In a pool the suffixes are sorted by their words; common prefixes of neighbours
+   are the tree: an internal node is a span of neighbours that agree over its depth.
+   The highest nodes at least a window deep are the repeats (_suffix_tree has all
+   nodes, and the maximal repeats they spell), their leaves the places.
+4. A prefix that is still over the bound at a whole window is one such node; its
+   earliest leaf is a minimum, which Spark aggregates before the shuffle.
+
+Order is by doc_id (null first), then by position in the text.  Words, contexts and
+prefixes are compared by 64-bit hashes: two that differ are taken for equal with
+probability 2^-64 a pair.
 
 Edge cases: a null text has no words; texts shorter than the window keep all words;
 rows that repeat a doc_id are one document, so neither is earlier than the other at
@@ -25,99 +29,104 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loxodrome.llm import _textkit as tk
-from loxodrome.llm._common import table
-from loxodrome.llm._repeats import Unit, distinct_contexts, keyed, removed_rows, repeated_anchors, with_elements
-from loxodrome.llm._suffixes import MAX_ELEMENTS, WindowRuns, ranges
-
-GROUP_WORDS = 1 << 18
-
-
-def _ids(column: pa.ChunkedArray) -> np.ndarray:
-    """Ranks of doc_id, null first."""
-    values = column.to_pylist()
-    present = sorted({v for v in values if v is not None})
-    rank = {v: i + 1 for i, v in enumerate(present)}
-    return np.array([rank.get(v, 0) for v in values], np.int64)
-
-
-def later_windows(bodies: list[np.ndarray], doc: np.ndarray, lo: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ranges (context, first offset, last offset) of windows that stand earlier in another context or place."""
-    size = np.array([len(x) for x in bodies], np.int64)
-    joined = np.concatenate([x for b in bodies for x in (b, np.zeros(1, np.uint64))])
-    end = np.cumsum(size + 1) - 1
-    words = np.unique(joined, return_inverse=True)[1].astype(np.int64)
-    tree = WindowRuns(words, end - size, end, window)
-    offset = np.arange(len(tree.text)) - np.searchsorted(tree.text, tree.text)
-    place = np.lexsort((lo[tree.text] + offset, doc[tree.text]))
-    d, p = doc[tree.text][place], (lo[tree.text] + offset)[place]
-    at = np.empty(len(place), np.int64)
-    at[place] = np.cumsum(np.concatenate(([False], (d[1:] != d[:-1]) | (p[1:] != p[:-1]))))  # equal places are equal
-    least = np.full(tree.n_runs, len(place) + 1, np.int64)
-    np.minimum.at(least, tree.run, at)
-    return ranges(at > least[tree.run], tree.text, offset)
-
-
-def _run_group(t: pa.Table, window: int) -> pa.Table:
-    fp, ctx, lo = (t.column(c).to_numpy() for c in ("fp", "ctx", "lo"))
-    doc = _ids(t.column("doc_id"))
-    bodies = [np.frombuffer(x, np.uint64) for x in t.column("body").to_pylist()]
-    order = np.argsort(fp, kind="stable")
-    size = np.array([len(bodies[i]) + 1 for i in order])
-    stops = np.flatnonzero(np.concatenate((fp[order][1:] != fp[order][:-1], [True]))) + 1
-    total, begin, out = np.concatenate(([0], np.cumsum(size))), 0, []
-    for k, stop in enumerate(stops):
-        if k + 1 == len(stops) or total[stops[k + 1]] - total[begin] > MAX_ELEMENTS // 2:
-            rows = order[begin:stop]
-            text, first, last = later_windows([bodies[i] for i in rows], doc[rows], lo[rows].astype(np.int64), window)
-            out.append((fp[rows[text]], ctx[rows[text]], first, last))
-            begin = stop
-    parts = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 4
-    return pa.table({"fp": parts[0].astype(np.int64), "ctx": parts[1].astype(np.int64), "a": parts[2].astype(np.int32), "b": parts[3].astype(np.int32)})
-
-
-def _whole_windows(rows: DataFrame, window: int) -> DataFrame:
-    """Groups whose prefix is the whole window: fp, ctx, a, b of windows with an earlier one."""
-    id_type = dict(rows.dtypes)["doc_id"]
+from loxodrome.llm._common import ship, table
+from loxodrome.llm._repeats import Unit, _same_doc, distinct_contexts, keyed, removed_rows, repeated_anchors
+from loxodrome.llm._suffix_tree import highest_nodes, sorted_suffixes
 
-    def run(source):
-        for batch in source:
-            bodies = batch.column(4).to_pylist()
-            for i, body in enumerate(bodies):
-                g = tk.gram_hashes(np.frombuffer(body, np.uint64), window)
-                k = pa.array(np.full(len(g), i))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(k), batch.column(1).take(k), batch.column(3).take(k), pa.array((batch.column(2)[i].as_py() + np.arange(len(g))).astype(np.int32)), pa.array(np.arange(len(g), dtype=np.int32)), pa.array(g.view(np.int64))], names=["fp", "ctx", "doc_id", "at", "a", "prefix"])
+#: Suffixes in a pool, and rows of a batch on the way there.
+POOL, ROWS = 1 << 15, 1 << 14
+SHORTEST, LONGER = 8, 4
 
-    w = rows.select("fp", "ctx", "lo", "doc_id", "body").mapInArrow(run, f"fp long, ctx long, doc_id {id_type}, at int, a int, prefix long")
-    w = table(w)
-    least = w.groupBy("prefix").agg(F.min(F.struct("doc_id", "at")).alias("least"))
-    return w.join(least, "prefix").where(F.struct("doc_id", "at") > F.col("least")).select("fp", "ctx", "a", F.col("a").alias("b"))
 
+def suffixes(docs: DataFrame, contexts: DataFrame, unit: Unit) -> DataFrame:
+    """doc_id, text_key, at, words (hashes as bytes) of every window of the contexts' first occurrences."""
+    ship(docs.sparkSession)
+    wanted = contexts.groupBy(F.col("first.doc_id").alias("doc_id"), F.col("first.text_key").alias("text_key")).agg(F.collect_list(F.struct(F.col("first.lo").alias("lo"), F.col("first.hi").alias("hi"))).alias("spans"))
+    once = docs.join(wanted, _same_doc(docs, wanted)).select(docs["doc_id"], docs["text_key"], docs["text"], "spans")
+    window, width = unit.window, 8 * unit.window
 
-def later_spans(docs: DataFrame, window: int = 20, gram: int = 4, block: int = 2000) -> DataFrame:
+    def run(source):
+        for batch in source:
+            if not batch.num_rows:
+                continue
+            spans = batch.column(3)
+            flat, begin = spans.flatten(), np.concatenate(([0], np.cumsum(np.asarray(spans.value_lengths()))))
+            lo, hi = (flat.field(c).to_numpy().astype(np.int64) for c in ("lo", "hi"))
+            for b in tk.text_blocks(batch.column(2)):
+                e, first = unit.elements(b)
+                s0, s1 = begin[b.row0], begin[b.row0 + b.rows]
+                row = np.repeat(np.arange(b.rows), np.diff(begin[b.row0 : b.row0 + b.rows + 1]))
+                count = hi[s0:s1] - lo[s0:s1] + 1
+                row, at = np.repeat(row, count), np.repeat(lo[s0:s1] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+                if not len(at):
+                    continue
+                deep = np.lib.stride_tricks.sliding_window_view(e, window)
+                for i in range(0, len(at), ROWS):
+                    r, p = row[i : i + ROWS], at[i : i + ROWS]
+                    body = np.ascontiguousarray(deep[first[r] + p])
+                    words = pa.Array.from_buffers(pa.binary(), len(p), [None, pa.py_buffer((np.arange(len(p) + 1) * width).astype(np.int32)), pa.py_buffer(body)])
+                    rows = pa.array(r + b.row0)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(p.astype(np.int32)), words], names=["doc_id", "text_key", "at", "words"])
+
+    return once.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, text_key long, at int, words binary")
+
+
+def prefix_groups(found: DataFrame, window: int, bound: int) -> tuple[DataFrame, DataFrame | None]:
+    """Suffixes with the hash of a prefix that at most ``bound`` of them share; and those of which more share the whole window."""
+    settled, rest = None, found
+    lengths = [*range(min(SHORTEST, window), window, LONGER), window]
+    for length in lengths:
+        rest = rest.withColumn("prefix", F.xxhash64(F.lit(length), F.substring("words", 1, 8 * length)))
+        over = table(rest.groupBy("prefix").count().where(F.col("count") > bound).select("prefix"))
+        if over.isEmpty():
+            return (rest if settled is None else settled.unionByName(rest)), None
+        fits = rest.join(over, "prefix", "left_anti").select(*rest.columns)
+        settled = fits if settled is None else settled.unionByName(fits)
+        rest = table(rest.join(over, "prefix", "left_semi").select(*rest.columns))
+    return settled, rest
+
+
+def later_leaves(words: np.ndarray, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which suffixes have an earlier one in their node; words: a row of word hashes each."""
+    order, common = sorted_suffixes(words)
+    first, last = highest_nodes(common, words.shape[1])
+    leaf = np.concatenate([order[a : b + 1] for a, b in zip(first, last, strict=True)]) if len(first) else order[:0]
+    node = np.repeat(np.arange(len(first)), last - first + 1)
+    by_place = np.lexsort((at[leaf], doc[leaf], node))
+    leaf, node = leaf[by_place], node[by_place]
+    earliest = leaf[np.searchsorted(node, node)]
+    return leaf[(doc[leaf] != doc[earliest]) | (at[leaf] != at[earliest])]
+
+
+def later_spans(docs: DataFrame, window: int = 20, gram: int = 10, bound: int = 1 << 12) -> DataFrame:
     """doc_id, text_key, start, stop: word spans of windows that stand earlier elsewhere; docs as made by keyed()."""
     unit = Unit(True, window, gram)
     repeated = repeated_anchors(docs, unit)
     contexts = table(distinct_contexts(repeated))
-    total = contexts.agg(F.sum(F.col("first.hi") - F.col("first.lo") + window)).first()[0] or 0
-    groups = max(1, -(-total // GROUP_WORDS))
-    rows = with_elements(docs, contexts, unit)
-    if contexts.where(F.col("n_ctx") > block).limit(1).count():
-        rows = table(rows)
-        long_prefix = _whole_windows(rows.where(F.col("n_ctx") > block), window)
-    else:
-        long_prefix = None
-    pooled = rows.where(F.col("n_ctx") <= block).select("fp", "ctx", "lo", "doc_id", "body", F.pmod(F.xxhash64("fp"), F.lit(groups)).alias("pool"))
-    found = pooled.groupBy("pool").applyInArrow(lambda t: _run_group(t, window), "fp long, ctx long, a int, b int")
-    found = table(found if long_prefix is None else found.unionByName(long_prefix))
+    # the windows of one context differ in where its anchor lies in them; only another context of the anchor can repeat them
+    found = table(suffixes(docs, contexts.where("n_ctx > 1"), unit))
+    pools = max(1, -(-found.count() // POOL))
+    grouped, whole = prefix_groups(found, window, bound)
+    id_type = dict(docs.dtypes)["doc_id"]
+
+    def tree(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        doc = pc.rank(t.column("doc_id"), sort_keys="ascending", null_placement="at_start", tiebreaker="dense").to_numpy().astype(np.int64)
+        words = np.frombuffer(b"".join(t.column("words").to_pylist()), np.uint64).reshape(-1, window)
+        return t.select(["doc_id", "text_key", "at"]).take(pa.array(later_leaves(words, doc, t.column("at").to_numpy())))
+
+    later = grouped.select("doc_id", "text_key", "at", "words", F.pmod(F.xxhash64("prefix"), F.lit(pools)).alias("pool")).groupBy("pool").applyInArrow(tree, f"doc_id {id_type}, text_key long, at int")
+    if whole is not None:
+        least = table(whole.groupBy("prefix").agg(F.min(F.struct("doc_id", "at")).alias("least")))
+        later = later.unionByName(whole.join(least, "prefix").where(F.struct("doc_id", "at") > F.col("least")).select("doc_id", "text_key", "at"))
+    firsts = table(later).select("doc_id", "text_key", F.col("at").alias("start"), (F.col("at") + window).alias("stop"))
     first = contexts.select("fp", "ctx", F.struct("first.doc_id", "first.lo").alias("first"))
-    here = F.struct("doc_id", "lo")
-    placed = repeated.join(first, ["fp", "ctx"])
-    copies = placed.where(here > F.col("first")).select("doc_id", "text_key", F.col("lo").alias("start"), (F.col("hi") + window).alias("stop"))
-    firsts = found.join(contexts.select("fp", "ctx", "first"), ["fp", "ctx"]).select(F.col("first.doc_id").alias("doc_id"), F.col("first.text_key").alias("text_key"), (F.col("first.lo") + F.col("a")).alias("start"), (F.col("first.lo") + F.col("b") + window).alias("stop"))
+    copies = repeated.join(first, ["fp", "ctx"]).where(F.struct("doc_id", "lo") > F.col("first")).select("doc_id", "text_key", F.col("lo").alias("start"), (F.col("hi") + window).alias("stop"))
     return copies.unionByName(firsts)
 
 
@@ -132,10 +141,10 @@ def _digest(b: tk.Block, start: np.ndarray, stop: np.ndarray, doc: np.ndarray) -
     return [pa.array(np.diff(w.first)), pa.array(n_gone), pa.array(sha)]
 
 
-def remove_later_repeats(docs: DataFrame, window: int = 20, gram: int = 4, block: int = 2000) -> DataFrame:
+def remove_later_repeats(docs: DataFrame, window: int = 20, gram: int = 10, bound: int = 1 << 12) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every document."""
     d = keyed(docs)
-    return removed_rows(d, later_spans(d, window, gram, block), _digest, "n_words long, n_removed long, kept_sha256 string")
+    return removed_rows(d, later_spans(d, window, gram, bound), _digest, "n_words long, n_removed long, kept_sha256 string")
 
 
 def op9_substring_dedup(spark, sf_dir: str) -> DataFrame:

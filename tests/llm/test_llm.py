@@ -123,9 +123,9 @@ def test_suffix_dedup(docs, rows, block):
     assert got_by_row(suffix_dedup.remove_repeats(docs, 60, 24, block), "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(want)
 
 
-@pytest.mark.parametrize("block", [2000, 1])
-def test_substring_dedup(docs, rows, block):
-    k, first = 8, {}
+@pytest.mark.parametrize(("k", "bound"), [(8, 4096), (14, 1)])
+def test_substring_dedup(docs, rows, k, bound):
+    first = {}
     for r in rows:
         w = words(r[1])
         for i in range(len(w) - k + 1):
@@ -141,7 +141,7 @@ def test_substring_dedup(docs, rows, block):
                 g[i : i + k] = [1] * k
         kept = " ".join(x for x, y in zip(w, g, strict=True) if not y)
         want.append(repr((r[0], len(w), sum(g), hashlib.sha256(kept.encode()).hexdigest())))
-    assert got_by_row(substring_dedup.remove_later_repeats(docs, k, 3, block), "n_words", "n_removed", "kept_sha256") == sorted(want)
+    assert got_by_row(substring_dedup.remove_later_repeats(docs, k, 3, bound), "n_words", "n_removed", "kept_sha256") == sorted(want)
 
 
 def test_decontamination(spark, docs, rows):
