@@ -24,10 +24,13 @@ def ship(spark: SparkSession) -> None:
 
 
 def checkpoint_ready(spark: SparkSession) -> None:
-    """checkpoint() needs a folder: the session's spark.checkpoint.dir, or where unset (tests) one of our own."""
+    """The session's spark.checkpoint.dir; where it is unset, a folder of our own, which only a local session's workers all see."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loxodrome-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and context.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="loxodrome-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
