@@ -96,15 +96,23 @@ def _constants(c: Crs) -> dict[str, float]:
     return {}
 
 
-def mollweide_theta(phi: str, dialect: str) -> str:
-    """2t + sin 2t = pi sin(phi), by fifteen Newton steps; the poles are fixed points."""
-    slope = "(2e0 + 2e0 * cos(2e0 * th))"
-    step = f"(CASE WHEN {slope} < 1e-15 THEN th ELSE th - (2e0 * th + sin(2e0 * th) - {PI} * sin({phi})) / {slope} END)"
-    return case(f"abs(abs({phi}) - {PI} / 2e0) < 1e-9", f"(sign({phi}) * {PI} / 2e0)", fold(dialect, 15, f"({phi})", "th", step))
+MOLLWEIDE_STEPS = 15
 
 
-def project(lon: str, lat: str, crs: Crs | str, window: str = "halfopen", dialect: str = "spark") -> tuple[str, str]:
-    """x and y; NaN outside the domain, and both NaN where either input is."""
+def mollweide_step(th: str, sine: str) -> str:
+    """One Newton step for 2t + sin 2t = pi sine."""
+    slope = f"(2e0 + 2e0 * cos(2e0 * {th}))"
+    return f"(CASE WHEN {slope} < 1e-15 THEN {th} ELSE {th} - (2e0 * {th} + sin(2e0 * {th}) - {PI} * {sine}) / {slope} END)"
+
+
+def mollweide_theta(phi: str, dialect: str, th: str | None = None) -> str:
+    """2t + sin 2t = pi sin(phi), by fifteen Newton steps (``th``, if given, is their result); the poles are fixed points."""
+    th = th or fold(dialect, MOLLWEIDE_STEPS, f"({phi})", "th", mollweide_step("th", f"sin({phi})"))
+    return case(f"abs(abs({phi}) - {PI} / 2e0) < 1e-9", f"(sign({phi}) * {PI} / 2e0)", th)
+
+
+def project(lon: str, lat: str, crs: Crs | str, window: str = "halfopen", dialect: str = "spark", theta: str | None = None) -> tuple[str, str]:
+    """x and y; NaN outside the domain, and both NaN where either input is. theta: a column with Mollweide's, worked out before."""
     c = as_crs(crs)
     lam = rad(wrap_longitude(f"({lon}) - {num(c.center_longitude)}", "0e0", window))
     phi, phi0, k = rad(lat), math.radians(c.center_latitude), _constants(c)
@@ -121,7 +129,7 @@ def project(lon: str, lat: str, crs: Crs | str, window: str = "halfopen", dialec
         a = f"abs({lat})"
         x, y = f"({num(ROBINSON_SCALE[0])} * {lam} * {_robinson(ROBINSON_X, a)})", f"({num(ROBINSON_SCALE[1])} * {_robinson(ROBINSON_Y, a)} * sign({lat}))"
     elif c.name == "mollweide":
-        th = mollweide_theta(phi, dialect)
+        th = mollweide_theta(phi, dialect, theta)
         x, y = f"({num(2 * math.sqrt(2) / math.pi)} * {lam} * cos({th}))", f"({num(math.sqrt(2))} * sin({th}))"
     elif c.name == "hammer":
         d = f"sqrt(1e0 + cos({phi}) * cos({lam} / 2e0))"

@@ -81,6 +81,7 @@ def sample_crs(name: str) -> Crs:
 for _name in PROJECTIONS:
     _c = sample_crs(_name)
     scalar(f"project_{_name}", lambda d, c=_c: dict(zip("xy", geo.project("lon", "lat", c, dialect=d), strict=True)))
+    QUERIES[f"project_{_name}"] = lambda spark, d, c=_c: r6(projection.project(base.points(spark, d), c), "event_id", x="x", y="y")
 
     def _back(spark, d, c=_c):
         p = projection.project(base.points(spark, d).where("abs(lat) < 80e0 AND abs(lon) < 150e0"), c).where("NOT isnan(x)").select("event_id", "x", "y")
