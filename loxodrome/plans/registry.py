@@ -449,7 +449,7 @@ def regrid_nearest(spark, d):
 
 
 _C_LON, _C_LAT = [-170.0 + 20 * k for k in range(18)], [-75.0 + 30 * k for k in range(6)]
-_CONS = f"""SELECT CAST(floor(i / 3) AS INT) AS p, CAST(floor(j / 2) AS INT) AS q, sum(w * z) / sum(w) AS z FROM (SELECT *, sin((lat + 5) * pi() / 180) - sin((lat - 5) * pi() / 180) AS w FROM ({GRID}) WHERE NOT isnan(z)) GROUP BY 1, 2"""
+_CONS = f"""SELECT CAST(floor(i / 3) AS INT) AS p, CAST(floor(j / 2) AS INT) AS q, CASE WHEN bool_and(isnan(z)) THEN CAST('NaN' AS DOUBLE) ELSE sum(CASE WHEN isnan(z) THEN 0 ELSE w * z END) / sum(CASE WHEN isnan(z) THEN 0 ELSE w END) END AS z FROM (SELECT *, sin((lat + 5) * pi() / 180) - sin((lat - 5) * pi() / 180) AS w FROM ({GRID})) GROUP BY 1, 2"""
 
 
 @query("regrid_conservative", f"SELECT p AS i, q AS j, {rounded('z')} AS z FROM ({_CONS})")

@@ -2,8 +2,7 @@
 
 Longitudes and latitudes are whole-number arithmetic on ids; obs is the value, a gap
 (NaN) for every 97th event.  The grid averages the values of all events over
-18 x 36 cells; cells no event falls in are gaps.  The SQL given for comparison,
-grid_sql(), still stops at event 5000 and so agrees with it up to 5000 events only.
+18 x 36 cells; cells no event falls in are gaps.
 """
 
 from __future__ import annotations
@@ -35,7 +34,7 @@ def _cells_sql(events: str) -> str:
 
 
 def grid_sql() -> str:
-    return _cells_sql("events WHERE event_id < 5000")
+    return _cells_sql("events")
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
