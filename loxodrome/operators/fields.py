@@ -73,6 +73,16 @@ def range_flags(df: DataFrame, value: str, lo: float, hi: float) -> DataFrame:
     return df.agg(F.coalesce(F.bool_or(v < lo), F.lit(False)).alias("has_under"), F.coalesce(F.bool_or(v > hi), F.lit(False)).alias("has_over"))
 
 
+def end_caps(flags: DataFrame, bar_length: float, cap_length: float = 10.0, arrows: str = "auto") -> DataFrame:
+    """side, at, tip: a colour bar's triangles, from its ends outwards. flags: of range_flags; "auto" draws those the data asks for, "on" both, "off" none."""
+    if arrows not in ("auto", "on", "off"):
+        raise GeoError("colorbar:BadArrows", arrows)
+    wanted = {"auto": lambda c: F.col(c), "on": lambda c: F.lit(True), "off": lambda c: F.lit(False)}[arrows]
+    cap = lambda side, at, tip, flag: F.struct(F.lit(side).alias("side"), F.lit(float(at)).alias("at"), F.lit(float(tip)).alias("tip"), wanted(flag).alias("drawn"))
+    both = F.array(cap("low", 0, -cap_length, "has_under"), cap("high", bar_length, bar_length + cap_length, "has_over"))
+    return flags.select(F.explode(both).alias("c")).where("c.drawn").select("c.side", "c.at", "c.tip")
+
+
 def marker_areas(df: DataFrame, size: str, size_range: tuple[float, float] = (16, 400), scale: str = "area", default: float = 36) -> DataFrame:
     """df with area: sizes mapped to the range by area or radius; no size, the default; all alike, the middle."""
     if scale not in ("area", "radius"):

@@ -220,6 +220,16 @@ def clip_paths(paths: DataFrame, crs: Crs | str, lon_limit=(-180.0, 180.0), lat_
     return _grouped(paths.select("path_id", "seq", "lon", "lat"), ["path_id"], one, f"path_id {kind}, part_id int, seq long, lon double, lat double, source double")
 
 
+def clip_counts(paths: DataFrame, crs: Crs | str, lon_limit=(-180.0, 180.0), lat_limit=(-90.0, 90.0)) -> DataFrame:
+    """path_id, cuts (segments that cross the frame), kept (vertices inside, before the cuts): what clip_paths does to each path, counted natively."""
+    x, y = geo.project("lon", "lat", crs, "closed")
+    p = paths.select("path_id", "seq", "lon", "lat", F.expr(x).alias("x"), F.expr(y).alias("y"))
+    p = p.withColumns({"ok": F.coalesce(F.expr(geo.inside_extent("lon", "lat", lon_limit, lat_limit, "x", "y")), F.lit(False)), "whole": good("lon") & good("lat")})
+    w = Window.partitionBy("path_id").orderBy("seq")
+    cut = (F.col("ok") != F.lag("ok").over(w)) & F.col("whole") & F.lag("whole").over(w)
+    return p.withColumn("cut", F.coalesce(cut, F.lit(False))).groupBy("path_id").agg(F.count_if("cut").alias("cuts"), F.count_if("ok").alias("kept"))
+
+
 def _densified(lon: np.ndarray, lat: np.ndarray, c: Crs, target: float, densify: bool, max_points: int) -> tuple[np.ndarray, ...]:
     """Halves long segments, then parts the line where a segment stays long however often it is halved (a branch cut)."""
     x, y = forward(lon, lat, c)
@@ -382,6 +392,28 @@ def contour_segments(grid: DataFrame, levels: list[float]) -> DataFrame:
     return out.select("level", "i", "j", F.col("s.a.x").alias("x1"), F.col("s.a.y").alias("y1"), F.col("s.b.x").alias("x2"), F.col("s.b.y").alias("y2")).where("x1 <> x2 or y1 <> y2")
 
 
+def label_places(lines: DataFrame, spacing: float) -> DataFrame:
+    """level, line, seq, x, y of the vertices that carry a contour's number: the first at least ``spacing`` along the line behind the last one, or behind the line's begin or a gap."""
+    if not spacing > 0:
+        raise GeoError("overlayContours:BadSpacing", spacing)
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("seq")
+        x, y = pdf["x"].to_numpy(float), pdf["y"].to_numpy(float)
+        edges = np.flatnonzero(np.diff(np.concatenate(([0], (np.isfinite(x) & np.isfinite(y)).astype(int), [0]))))
+        picked = []
+        for first, stop in zip(edges[::2], edges[1::2], strict=True):
+            along = np.concatenate(([0.0], np.cumsum(np.hypot(np.diff(x[first:stop]), np.diff(y[first:stop])))))
+            k = 0
+            while (k := int(np.searchsorted(along, along[k] + spacing))) < stop - first:
+                picked.append(first + k)
+        return pdf.iloc[picked]
+
+    types = dict(lines.dtypes)
+    columns = ["level", "line", "seq", "x", "y"]
+    return _grouped(lines.select(*columns), ["level", "line"], one, ", ".join(f"{c} {types[c]}" for c in columns))
+
+
 def chain_segments(segments: DataFrame) -> DataFrame:
     """level, line, seq, lon, lat: segments joined end to end, level by level."""
 

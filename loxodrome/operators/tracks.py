@@ -203,3 +203,13 @@ def unwrap_longitude(df: DataFrame, track: str = "track_id") -> DataFrame:
     d = F.coalesce(F.col("lon") - F.lag("lon").over(w), F.lit(0.0))
     step = d - 360 * F.round(d / 360)
     return df.withColumn("_s", step).withColumn("lon_unwrapped", F.first("lon").over(w) + F.sum("_s").over(w)).drop("_s")
+
+
+def interpolate_at(places: DataFrame, path: DataFrame, value: str = "obs", track: str = "track_id") -> DataFrame:
+    """places (track, source and more) with ``value``: linear between the two vertices of the path around source, which counts them from 0; a gap beside it is a gap, at a vertex its own value."""
+    w = _by([track])
+    p = path.select(F.col(track).alias("_t"), (F.row_number().over(w) - 1).cast("long").alias("_k"), F.col(value).alias("_v"), F.lead(value).over(w).alias("_next"))
+    share = F.col("source") - F.floor("source")
+    at = F.when(share == 0, F.col("_v")).otherwise(F.col("_v") + share * (F.col("_next") - F.col("_v")))
+    keep = [c for c in places.columns if c != value]
+    return places.join(p, (F.col(track) == F.col("_t")) & (F.floor("source") == F.col("_k")), "left").select(*keep, at.alias(value))

@@ -16,7 +16,7 @@ from loxodrome.functions.sqltext import rounded
 from loxodrome.model import PRESETS, PROJECTIONS, Crs, Region
 from loxodrome.operators import color, fields, geometry, grid, projection, tracks
 from loxodrome.plans import options, scene
-from loxodrome.sources import base
+from loxodrome.sources import base, coastline
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -179,6 +179,11 @@ def range_flags(spark, d):
     return fields.range_flags(base.points(spark, d), "obs", 5.0, 1e6)
 
 
+@query("colorbar_caps", f"""SELECT 'low' AS side, 0e0 AS at_end, -10e0 AS tip FROM ({POINTS}) WHERE {_OK} HAVING min(obs) < 5e0 UNION ALL SELECT 'high', 200e0, 210e0 FROM ({POINTS}) WHERE {_OK} HAVING max(obs) > 60e0""")
+def colorbar_caps(spark, d):
+    return fields.end_caps(fields.range_flags(base.points(spark, d), "obs", 5.0, 60.0), 200.0).withColumnRenamed("at", "at_end")
+
+
 @query("marker_area", r6_sql(f"SELECT event_id, CASE WHEN isnan(obs) THEN 36e0 ELSE 16e0 + (obs - lo) / (hi - lo) * 384e0 END AS area FROM ({POINTS}), (SELECT min(obs) AS lo, max(obs) AS hi FROM ({POINTS}) WHERE {_OK})", "event_id", area="area"))
 def marker_area(spark, d):
     return r6(fields.marker_areas(base.points(spark, d), "obs"), "event_id", area="area")
@@ -540,6 +545,21 @@ def contours(spark, d):
     return lines.agg((F.count(F.lit(1)) > 0).alias("some"))
 
 
+@query("contour_labels")
+def contour_labels(spark, d):
+    lines = geometry.chain_segments(geometry.contour_segments(base.grid(spark, d), [30.0, 60.0])).withColumnsRenamed({"lon": "x", "lat": "y"})
+    return r6(geometry.label_places(lines, 25.0), "level", "line", "seq", x="x", y="y")
+
+
+_TURN = "(v * 2e0 * pi() / 360e0)"
+
+
+@query("coast_sample", f"""SELECT path_id, seq, {rounded('(u - 360e0 * floor((u + 180e0) / 360e0))')} AS lon, {rounded('lat')} AS lat FROM (SELECT concat('sample#', k) AS path_id, CAST(v AS BIGINT) AS seq, lon0 + a * cos({_TURN}) * (1e0 + 0.15e0 * sin(3e0 * {_TURN} + k)) AS u, lat0 + b * sin({_TURN}) * (1e0 + 0.1e0 * cos(5e0 * {_TURN})) AS lat
+ FROM (VALUES (0, -95e0, 45e0, 30e0, 20e0), (1, -60e0, -15e0, 18e0, 28e0), (2, 20e0, 5e0, 22e0, 30e0), (3, 75e0, 48e0, 55e0, 20e0), (4, 134e0, -25e0, 19e0, 12e0), (5, 178e0, -10e0, 9e0, 14e0)) t(k, lon0, lat0, a, b), range(361) r(v))""")
+def coast_sample(spark, d):
+    return r6(coastline.sample_coast(spark, split="none"), "path_id", "seq", lon="lon", lat="lat")
+
+
 @query("contour_segments", f"""SELECT CAST(count(*) AS BIGINT) AS cells FROM (SELECT z, lead(z) OVER r AS z10, i, j FROM ({GRID}) WINDOW r AS (PARTITION BY i ORDER BY j)) a JOIN (SELECT z AS z01, lead(z) OVER r AS z11, i - 1 AS i, j FROM ({GRID}) WINDOW r AS (PARTITION BY i ORDER BY j)) b USING (i, j)
  WHERE z10 IS NOT NULL AND z11 IS NOT NULL AND NOT isnan(z) AND NOT isnan(z10) AND NOT isnan(z01) AND NOT isnan(z11) AND greatest(z, z10, z01, z11) >= 40e0 AND least(z, z10, z01, z11) < 40e0""")
 def contour_segments(spark, d):
@@ -579,6 +599,21 @@ def clip_boundary(spark, d):
     return r6(geometry.clip_paths(t, "equirectangular", (-100.0, 120.0), (-50.0, 60.0)), "path_id", "part_id", "seq", lon="lon", lat="lat", source="source")
 
 
+@query("clip_counts", f"""SELECT path_id, CAST(sum(CASE WHEN ok <> before THEN 1 ELSE 0 END) AS BIGINT) AS cuts, CAST(sum(CASE WHEN ok THEN 1 ELSE 0 END) AS BIGINT) AS kept
+ FROM (SELECT *, lag(ok) OVER (PARTITION BY path_id ORDER BY seq) AS before FROM (SELECT CAST(track_id AS VARCHAR) AS path_id, seq, lon BETWEEN -100.000000001e0 AND 120.000000001e0 AND lat BETWEEN -50.000000001e0 AND 60.000000001e0 AS ok FROM ({TRACK}))) GROUP BY path_id""")
+def clip_counts(spark, d):
+    t = base.track(spark, d).select(F.col("track_id").cast("string").alias("path_id"), "seq", "lon", "lat")
+    return geometry.clip_counts(t, "equirectangular", (-100.0, 120.0), (-50.0, 60.0))
+
+
+@query("track_interpolated", f"""SELECT track_id, seq, {rounded('v')} AS obs FROM (SELECT track_id, seq, CASE WHEN f = 0 THEN obs ELSE obs + f * (nxt - obs) END AS v FROM (SELECT *, (seq % 4) / 4e0 AS f, lead(obs) OVER (PARTITION BY track_id ORDER BY seq) AS nxt FROM ({TRACK})))""")
+def track_interpolated(spark, d):
+    """Values a quarter, a half and three quarters of the way to the next vertex, and at vertices."""
+    t = base.track(spark, d)
+    places = t.select("track_id", "seq", F.expr("seq - 1 + (seq % 4) / 4e0").alias("source"))
+    return r6(tracks.interpolate_at(places, t), "track_id", "seq", obs="obs")
+
+
 @query("project_polyline")
 def project_polyline(spark, d):
     lines = spark.createDataFrame([(f"m{m}", k, float(m), float(y)) for m in range(-180, 181, 30) for k, y in enumerate(range(-80, 81, 10))], "path_id string, seq long, lon double, lat double")

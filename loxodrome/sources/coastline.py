@@ -75,6 +75,20 @@ def decode_text(text: str) -> Iterator[np.ndarray]:
 FORMATS = {"b": "polygons", "shp": "shape", "txt": "text", "dat": "text", "xy": "text"}
 
 
+#: Invented lands: middle longitude and latitude, half width and half height in degrees. The last one lies across the antimeridian.
+SAMPLE_LANDS = [(-95.0, 45.0, 30.0, 20.0), (-60.0, -15.0, 18.0, 28.0), (20.0, 5.0, 22.0, 30.0), (75.0, 48.0, 55.0, 20.0), (134.0, -25.0, 19.0, 12.0), (178.0, -10.0, 9.0, 14.0)]
+
+
+def sample_coast(spark: SparkSession, points: int = 360, split: str = "interpolate") -> DataFrame:
+    """A coast without a file: closed outlines made by rule, an ellipse with bays for each land; for trials and tests."""
+    lands = spark.createDataFrame([(k, *land) for k, land in enumerate(SAMPLE_LANDS)], "k int, lon0 double, lat0 double, a double, b double")
+    turn = f"(k2 * 2e0 * pi() / {float(points)}e0)"
+    lon, lat = f"lon0 + a * cos({turn}) * (1e0 + 0.15e0 * sin(3e0 * {turn} + k))", f"lat0 + b * sin({turn}) * (1e0 + 0.1e0 * cos(5e0 * {turn}))"
+    v = lands.withColumn("k2", F.explode(F.sequence(F.lit(0), F.lit(points))))
+    lines = v.selectExpr("concat('sample#', k) AS path_id", "0 AS part_id", "CAST(k2 AS LONG) AS seq", f"{lon} AS u", f"{lat} AS lat").selectExpr("path_id", "part_id", "seq", "u - 360e0 * floor((u + 180e0) / 360e0) AS lon", "lat", "1 AS level")
+    return lines if split == "none" else split_lines(lines, split)
+
+
 def read_coastline(spark: SparkSession, path: str, format: str = "auto", levels: range | list[int] = range(1, 7), split: str = "interpolate") -> DataFrame:
     """Lines of a file or folder, split at the antimeridian ("interpolate", "break" or "none")."""
     kind = FORMATS.get(path.rsplit(".", 1)[-1].lower()) if format == "auto" else format

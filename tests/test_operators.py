@@ -129,6 +129,43 @@ def test_points_beside_an_edge(spark, ring):
     assert sorted(r.point_id for r in df.where(projection.in_polygon([ring])).collect()) == want
 
 
+def test_clip_counts_are_those_of_the_clip(spark):
+    rows = [(p, k, (k * 37 * (ord(p) - 90) % 360) - 180.0 if k % 11 else NAN, (k * 17) % 170 - 85.0) for p in "abc" for k in range(60)]
+    d = spark.createDataFrame(rows, "path_id string, seq long, lon double, lat double")
+    box = ("equirectangular", (-100.0, 120.0), (-50.0, 60.0))
+    cut = geometry.clip_paths(d, *box).groupBy("path_id").agg(F.count_if(F.col("source") != F.floor("source")).alias("cuts"), F.count_if(F.col("source") == F.floor("source")).alias("kept"))
+    assert sorted(map(tuple, geometry.clip_counts(d, *box).collect())) == sorted(map(tuple, cut.collect()))
+
+
+def test_values_between_vertices(spark):
+    path = spark.createDataFrame([(1, 5, 10.0), (1, 7, 20.0), (1, 9, NAN), (1, 11, 4.0)], "track_id int, seq long, obs double")
+    at = spark.createDataFrame([(1, x) for x in (0.0, 0.25, 1.0, 1.5, 2.5, 3.0)], "track_id int, source double")
+    got = {r.source: r.obs for r in tracks.interpolate_at(at, path).collect()}
+    assert [got[x] for x in (0.0, 0.25, 1.0, 3.0)] == [10.0, 12.5, 20.0, 4.0] and math.isnan(got[1.5]) and math.isnan(got[2.5])
+
+
+def test_end_caps(spark):
+    flags = spark.createDataFrame([(True, False)], "has_under boolean, has_over boolean")
+    sides = lambda arrows: sorted(tuple(r) for r in fields.end_caps(flags, 200.0, arrows=arrows).collect())
+    assert sides("auto") == [("low", 0.0, -10.0)] and sides("on") == [("high", 200.0, 210.0), ("low", 0.0, -10.0)] and sides("off") == []
+
+
+def test_contour_label_places(spark):
+    x = [0.0, 1.0, 2.0, 3.0, NAN, 10.0, 10.5, 12.5, 13.0, 16.0]
+    d = spark.createDataFrame([(1.0, 0, k, v, 0.0) for k, v in enumerate(x)], "level double, line int, seq long, x double, y double")
+    assert sorted(r.seq for r in geometry.label_places(d, 2.0).collect()) == [2, 7, 9]
+    with pytest.raises(GeoError):
+        geometry.label_places(d, 0.0)
+
+
+def test_sample_coast_is_closed_and_split(spark):
+    whole = coastline.sample_coast(spark, 90, "none")
+    ends = whole.groupBy("path_id").agg(F.min_by("lat", "seq").alias("a"), F.max_by("lat", "seq").alias("b")).collect()
+    assert len(ends) == len(coastline.SAMPLE_LANDS) and all(r.a == pytest.approx(r.b) for r in ends)
+    assert whole.where("abs(lon) > 180 OR abs(lat) > 90").count() == 0
+    assert {r.path_id for r in coastline.sample_coast(spark, 90).groupBy("path_id").agg(F.count_distinct("part_id").alias("n")).where("n > 1").collect()} == {f"sample#{len(coastline.SAMPLE_LANDS) - 1}"}
+
+
 def test_contours_close(spark):
     g = grid.mesh(spark, list(range(-10, 11)), list(range(-10, 11)), "lon * lon + lat * lat")
     lines = geometry.chain_segments(geometry.contour_segments(g, [25.5])).orderBy("line", "seq").collect()
