@@ -419,7 +419,13 @@ def chain_segments(segments: DataFrame) -> DataFrame:
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         ends: dict[tuple, list[int]] = {}
-        pts = [((round(r.x1, 9), round(r.y1, 9)), (round(r.x2, 9), round(r.y2, 9))) for r in pdf.sort_values(["i", "j", "x1", "y1"]).itertuples()]
+        exact: dict[tuple, tuple] = {}  # ends meet by nine places; the lines keep what was computed
+
+        def end(x: float, y: float) -> tuple:
+            exact.setdefault(key := (round(x, 9), round(y, 9)), (x, y))
+            return key
+
+        pts = [(end(r.x1, r.y1), end(r.x2, r.y2)) for r in pdf.sort_values(["i", "j", "x1", "y1"]).itertuples()]
         for k, (a, b) in enumerate(pts):
             ends.setdefault(a, []).append(k)
             ends.setdefault(b, []).append(k)
@@ -438,7 +444,7 @@ def chain_segments(segments: DataFrame) -> DataFrame:
         for p in [p for p, ks in ends.items() if len(ks) == 1] + list(ends):
             if any(k not in used for k in ends[p]):
                 lines.append(follow(p))
-        rows = [(float(pdf["level"].iloc[0]), n, m, *p) for n, line in enumerate(lines) for m, p in enumerate(line)]
+        rows = [(float(pdf["level"].iloc[0]), n, m, *exact[p]) for n, line in enumerate(lines) for m, p in enumerate(line)]
         return pd.DataFrame(rows, columns=["level", "line", "seq", "lon", "lat"])
 
     return _grouped(segments, ["level"], one, "level double, line int, seq long, lon double, lat double")

@@ -538,11 +538,19 @@ def background(spark, d):
     return r6(grid.background(base.grid(spark, d), (-30.0, 50.0), (30.0, 75.0)), "i", "j", lon="lon", lat="lat", z="z")
 
 
-@query("contours", f"""SELECT count(*) > 0 AS some FROM ({GRID})""")
+# where a level cuts the sides of cells whose four corners have values: the vertices of contour lines, whatever their order
+_CUTS = f"""WITH g AS ({GRID}), c AS (SELECT a.i, a.j, a.lon AS w, a.lat AS s, d.lon AS e, d.lat AS n, a.z AS sw, b.z AS se, k.z AS nw, d.z AS ne
+  FROM g a JOIN g b ON b.i = a.i AND b.j = a.j + 1 JOIN g k ON k.i = a.i + 1 AND k.j = a.j JOIN g d ON d.i = a.i + 1 AND d.j = a.j + 1 WHERE NOT isnan(a.z + b.z + k.z + d.z)),
+  sides AS (SELECT i, j, w AS x1, s AS y1, e AS x2, s AS y2, sw AS z1, se AS z2 FROM c UNION ALL SELECT i, j, e, s, e, n, se, ne FROM c UNION ALL SELECT i, j, w, n, e, n, nw, ne FROM c UNION ALL SELECT i, j, w, s, w, n, sw, nw FROM c),
+  cuts AS (SELECT level, i, j, x1 + (x2 - x1) * ((level - z1) / (z2 - z1)) AS lon, y1 + (y2 - y1) * ((level - z1) / (z2 - z1)) AS lat FROM sides, (VALUES (30e0), (50e0), (60e0)) v(level) WHERE (z1 >= level) <> (z2 >= level))"""
+
+
+@query("contours", f"{_CUTS} SELECT DISTINCT level, {rounded('lon')} AS lon, {rounded('lat')} AS lat FROM cuts")
 def contours(spark, d):
+    """Every vertex of the chained lines, once; tests hold their order."""
     g = base.grid(spark, d)
-    lines = geometry.chain_segments(geometry.contour_segments(g, [30.0, 60.0]))
-    return lines.agg((F.count(F.lit(1)) > 0).alias("some"))
+    lines = geometry.chain_segments(geometry.contour_segments(g, [30.0, 50.0, 60.0]))
+    return r6(lines, "level", lon="lon", lat="lat").distinct()
 
 
 @query("contour_labels")
@@ -560,11 +568,12 @@ def coast_sample(spark, d):
     return r6(coastline.sample_coast(spark, split="none"), "path_id", "seq", lon="lon", lat="lat")
 
 
-@query("contour_segments", f"""SELECT CAST(count(*) AS BIGINT) AS cells FROM (SELECT z, lead(z) OVER r AS z10, i, j FROM ({GRID}) WINDOW r AS (PARTITION BY i ORDER BY j)) a JOIN (SELECT z AS z01, lead(z) OVER r AS z11, i - 1 AS i, j FROM ({GRID}) WINDOW r AS (PARTITION BY i ORDER BY j)) b USING (i, j)
- WHERE z10 IS NOT NULL AND z11 IS NOT NULL AND NOT isnan(z) AND NOT isnan(z10) AND NOT isnan(z01) AND NOT isnan(z11) AND greatest(z, z10, z01, z11) >= 40e0 AND least(z, z10, z01, z11) < 40e0""")
+@query("contour_segments", f"{_CUTS} SELECT DISTINCT level, i, j, {rounded('lon')} AS lon, {rounded('lat')} AS lat FROM cuts")
 def contour_segments(spark, d):
-    s = geometry.contour_segments(base.grid(spark, d), [40.0])
-    return s.agg(F.count_distinct("i", "j").alias("cells"))
+    """Both ends of every segment, cell by cell."""
+    s = geometry.contour_segments(base.grid(spark, d), [30.0, 50.0, 60.0])
+    ends = s.select("level", "i", "j", F.col("x1").alias("lon"), F.col("y1").alias("lat")).unionByName(s.select("level", "i", "j", F.col("x2").alias("lon"), F.col("y2").alias("lat")))
+    return r6(ends, "level", "i", "j", lon="lon", lat="lat").distinct()
 
 
 # --- colours -------------------------------------------------------------------------------------------------

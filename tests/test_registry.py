@@ -6,7 +6,7 @@ import pytest
 from loxodrome.plans import registry
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-FAST = ["great_circle", "wrap_longitude", "project_mollweide", "unproject_albers", "quantile", "polygon_filter", "split_tracks_time", "split_antimeridian", "regrid_bilinear", "regrid_conservative", "hillshade", "truecolor", "v1_options", "format_lonlat"]
+FAST = ["great_circle", "wrap_longitude", "project_mollweide", "unproject_albers", "quantile", "polygon_filter", "split_tracks_time", "split_antimeridian", "regrid_bilinear", "regrid_conservative", "hillshade", "truecolor", "v1_options", "format_lonlat", "contours", "contour_segments", "split_antimeridian"]
 
 
 def rows(df):
