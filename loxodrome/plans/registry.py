@@ -343,7 +343,9 @@ _AM = f"""WITH t AS ({TRACK}), l AS (SELECT *, lead(lon) OVER w AS nlon, lead(la
 @query("split_antimeridian", _AM + f"""SELECT track_id, seq, CAST(0 AS INT) AS sub, CAST(part AS BIGINT) AS part_id, {rounded('lon')} AS lon, {rounded('lat')} AS lat FROM p
  UNION ALL SELECT track_id, seq, 1, CAST(part AS BIGINT), {rounded('edge')}, {rounded('(lat + f * (nlat - lat))')} FROM p WHERE jump UNION ALL SELECT track_id, seq, 2, CAST(part + 1 AS BIGINT), {rounded('(-edge)')}, {rounded('(lat + f * (nlat - lat))')} FROM p WHERE jump""")
 def split_antimeridian(spark, d):
-    return r6(tracks.split_antimeridian(base.track(spark, d)), "track_id", "seq", "sub", "part_id", lon="lon", lat="lat")
+    # a latitude is rounded as the other engine does it, by a product: a decimal round differs where that product ends in one half
+    out = r6(tracks.split_antimeridian(base.track(spark, d)), "track_id", "seq", "sub", "part_id", lon="lon", v="sign(lat) * floor(abs(lat) * 1e6 + 0.5e0) / 1e6")
+    return out.withColumnRenamed("v", "lat")
 
 
 @query("split_antimeridian_break", _AM + f"SELECT track_id, seq, CAST(part AS BIGINT) AS part_id, {rounded('lon')} AS lon FROM p")
