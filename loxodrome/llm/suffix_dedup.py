@@ -8,9 +8,11 @@
    (Larsson-Sadakane refinement, to the depth of the window); Kasai's common
    prefixes join neighbours that agree over the window into runs, and a run whose
    counts add up to two or more repeats.
-3. An anchor with more than ``block`` contexts (a hot phrase) is dealt to several
-   shards, each with its own suffix array; every two of them are merged by seeking
-   the runs of one in the sorted runs of the other by binary search.
+3. An anchor with more than ``block`` contexts is dealt to several shards, each with
+   its own suffix array; every two of them are merged by seeking the runs of one in
+   the sorted runs of the other by binary search.  One with more than ``merged``
+   blocks (a hot phrase) is first split by longer cores (see _cores), so that a
+   context meets a bounded number of others however often the phrase occurs.
 4. Repeated window ranges go back to all occurrences, and per document to spans.
 
 Edge cases: a null text is empty; texts shorter than the window keep all bytes;
@@ -30,6 +32,7 @@ from pyspark.sql import functions as F
 
 from loxodrome.llm import _textkit as tk
 from loxodrome.llm._common import table
+from loxodrome.llm._cores import split_hot
 from loxodrome.llm._repeats import Unit, distinct_contexts, keyed, removed_rows, repeated_anchors, with_elements
 from loxodrome.llm._suffixes import MAX_ELEMENTS, WindowRuns, ranges, shared_runs
 
@@ -88,23 +91,35 @@ def _run_shard(t: pa.Table, window: int) -> pa.Table:
     return pa.table({"fp": parts[0].astype(np.int64), "ctx": parts[1].astype(np.int64), "a": parts[2].astype(np.int32), "b": parts[3].astype(np.int32)})
 
 
-def repeated_spans(docs: DataFrame, window: int = 400, gram: int = 200, block: int = 1000) -> DataFrame:
+def repeated_spans(docs: DataFrame, window: int = 400, gram: int = 200, block: int = 1000, merged: int = 4) -> DataFrame:
     """doc_id, text_key, start, stop: byte spans of windows that occur elsewhere; docs as made by keyed()."""
     unit = Unit(False, window, gram)
     repeated = repeated_anchors(docs, unit)
     contexts = table(distinct_contexts(repeated))
-    total = contexts.agg(F.sum(F.col("first.hi") - F.col("first.lo") + window)).first()[0] or 0
+    hot = F.col("n_ctx") > block * merged
+    total, any_hot = contexts.agg(F.sum(F.col("first.hi") - F.col("first.lo") + window), F.max(hot)).first()
+    found = _decide(with_elements(docs, contexts.where(~hot), unit), total or 0, window, block)
+    if any_hot:
+        parts, places = split_hot(with_elements(docs, contexts.where(hot), unit), window, gram, block * merged)
+        parts = table(parts)
+        total = parts.agg(F.sum(F.octet_length("body"))).first()[0] or 0
+        again = _decide(parts, total, window, block).join(places, ["fp", "ctx"])
+        found = found.unionByName(again.select(F.col("of_fp").alias("fp"), F.col("of_ctx").alias("ctx"), (F.col("a") + F.col("shift")).alias("a"), (F.col("b") + F.col("shift")).alias("b")))
+    return repeated.join(found, ["fp", "ctx"]).select("doc_id", "text_key", (F.col("lo") + F.col("a")).alias("start"), (F.col("lo") + F.col("b") + window).alias("stop"))
+
+
+def _decide(contexts: DataFrame, total: int, window: int, block: int) -> DataFrame:
+    """fp, ctx, a, b: ranges of windows of a context (fp, ctx, m, n_ctx, body; ``total`` bytes in all) that occur twice under one fp."""
     shards = max(1, -(-total // SHARD_BYTES))
     blocks = F.ceil(F.col("n_ctx") / block).cast("int")
     mine = F.pmod(F.xxhash64("ctx"), blocks).cast("int")
-    rows = with_elements(docs, contexts, unit).withColumn("blocks", blocks).withColumn("mine", mine)
+    rows = contexts.withColumn("blocks", blocks).withColumn("mine", mine)
     rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumn("one", F.least("mine", "with")).withColumn("other", F.greatest("mine", "with"))
     hot = F.col("blocks") > 1
     key = [F.when(hot, F.col("fp")).otherwise(F.pmod(F.xxhash64("fp"), F.lit(shards))).alias("shard"), "one", "other"]
     found = rows.select("fp", "ctx", "m", "body", "mine", *key, hot.alias("hot")).groupBy("hot", "shard", "one", "other").applyInArrow(lambda t: _run_shard(t, window), "fp long, ctx long, a int, b int")
-    found = table(found)
-    return repeated.join(found, ["fp", "ctx"]).select("doc_id", "text_key", (F.col("lo") + F.col("a")).alias("start"), (F.col("lo") + F.col("b") + window).alias("stop"))
+    return table(found)
 
 
 def _digest(b: tk.Block, start: np.ndarray, stop: np.ndarray, doc: np.ndarray) -> list[pa.Array]:
@@ -121,10 +136,10 @@ def _digest(b: tk.Block, start: np.ndarray, stop: np.ndarray, doc: np.ndarray) -
     return [pa.array(np.diff(b.off)), pa.array(tk.per_row_sum(gone, b.off)), pa.array(tk.per_row_sum(begins, b.off)), pa.array(sha)]
 
 
-def remove_repeats(docs: DataFrame, window: int = 400, gram: int = 200, block: int = 1000) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 400, gram: int = 200, block: int = 1000, merged: int = 4) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
     d = keyed(docs)
-    return removed_rows(d, repeated_spans(d, window, gram, block), _digest, "n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return removed_rows(d, repeated_spans(d, window, gram, block, merged), _digest, "n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def op1_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:

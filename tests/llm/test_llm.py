@@ -113,14 +113,14 @@ def plain_removed(texts, window):
     return out
 
 
-@pytest.mark.parametrize("block", [1000, 2])
-def test_suffix_dedup(docs, rows, block):
+@pytest.mark.parametrize(("block", "merged"), [(1000, 4), (2, 1000), (2, 1), (1, 1)])
+def test_suffix_dedup(docs, rows, block, merged):
     texts = [(r[1] or "").encode() for r in rows]
     want = []
     for r, t, g in zip(rows, texts, plain_removed(texts, 60), strict=True):
         kept = bytes(b for b, x in zip(t, g, strict=True) if not x)
         want.append(repr((r[0], len(t), sum(g), sum(1 for i in range(len(g)) if g[i] and not (i and g[i - 1])), hashlib.sha256(kept).hexdigest())))
-    assert got_by_row(suffix_dedup.remove_repeats(docs, 60, 24, block), "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(want)
+    assert got_by_row(suffix_dedup.remove_repeats(docs, 60, 24, block, merged), "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(want)
 
 
 @pytest.mark.parametrize(("k", "bound"), [(8, 4096), (14, 1)])

@@ -11,7 +11,7 @@ import pytest
 from loxodrome.llm import _suffix_tree as st
 from loxodrome.llm import suffix_dedup
 from loxodrome.llm.substring_dedup import op9_substring_dedup
-from loxodrome.llm.suffix_dedup import op1_suffix_array_dedup
+from loxodrome.llm.suffix_dedup import op1_suffix_array_dedup, remove_repeats
 
 
 @pytest.mark.parametrize("seed", range(30))
@@ -97,3 +97,19 @@ def test_op9_keeps_the_first_of_20_words(spark, corpus):
         want.append(str((r[0], len(w), sum(gone), hashlib.sha256(" ".join(x for x, y in zip(w, gone, strict=True) if not y).encode()).hexdigest())))
     got = op9_substring_dedup(spark, d).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
     assert sorted(str(tuple(r)) for r in got) == sorted(want)
+
+
+@pytest.mark.parametrize("most", [1, 3])
+def test_split_of_hot_anchors_loses_no_link(spark, most):
+    """A phrase between surroundings that few, many or all texts share, periodic ones among them: every window that recurs is found."""
+    r = random.Random(most)
+    phrase, ends = "the phrase that stands in all of them", ["ab" * 40, "b" * 70, *("".join(r.choice("abc") for _ in range(70)) for _ in range(4))]
+    texts = [r.choice(ends)[-r.randint(0, 70) :] + phrase + r.choice(ends)[: r.randint(0, 70)] + str(k) for k in range(90)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    count = collections.Counter(t[i : i + 60] for t in texts for i in range(len(t) - 59))
+    want = {}
+    for k, t in enumerate(texts):
+        gone = {j for i in range(len(t) - 59) if count[t[i : i + 60]] > 1 for j in range(i, i + 60)}
+        want[k] = len(gone)
+    got = {x.doc_id: x.n_removed for x in remove_repeats(docs, 60, 24, 1, most).collect()}
+    assert got == want and sum(want.values()) > 1000
