@@ -226,3 +226,12 @@ def test_sessions_stream(spark, sf, tmp_path):
     q = s.writeStream.format("memory").queryName("passes").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.table("passes").count() <= session_passes(e, 86400).count()
+
+
+def test_filter_on_mollweide_stays_above_its_steps(spark):
+    p = spark.range(-90, 91, 5).selectExpr("id * 2e0 AS lon", "id * 1e0 AS lat")
+    kept = projection.project(p, "mollweide").where("NOT isnan(x) AND y >= 0e0")
+    assert len(kept._jdf.queryExecution().optimizedPlan().toString()) < 100_000
+    back = projection.unproject(kept.withColumnsRenamed({"lon": "lon0", "lat": "lat0"}), "mollweide").where("lat0 < 89e0")
+    got = back.selectExpr("count(*) AS n", "max(abs(lat - lat0)) AS d").first()
+    assert got.n == 18 and got.d < 1e-6
