@@ -84,16 +84,16 @@ for _name in PROJECTIONS:
     QUERIES[f"project_{_name}"] = lambda spark, d, c=_c: r6(projection.project(base.points(spark, d), c), "event_id", x="x", y="y")
 
     def _back(spark, d, c=_c):
-        p = projection.project(base.points(spark, d).where("abs(lat) < 80e0 AND abs(lon) < 150e0"), c).where("NOT isnan(x)").select("event_id", "x", "y")
+        p = projection.project(base.points(spark, d), c).where("NOT isnan(x)").select("event_id", "x", "y")
         return r6(projection.unproject(p, c), "event_id", lon="lon", lat="lat")
 
     QUERIES[f"unproject_{_name}"] = _back
     if _name != "winkeltripel":
         _x, _y = geo.project("lon", "lat", _c, dialect="duckdb")
         _lon, _lat = geo.unproject("x", "y", _c, "duckdb")
-        ORACLES[f"unproject_{_name}"] = r6_sql(f"SELECT event_id, {_lon} AS lon, {_lat} AS lat FROM (SELECT event_id, {_x} AS x, {_y} AS y FROM ({POINTS}) WHERE abs(lat) < 80e0 AND abs(lon) < 150e0) WHERE NOT isnan(x)", "event_id", lon="lon", lat="lat")
-    else:  # the round trip is the identity, which SQL can say
-        ORACLES[f"unproject_{_name}"] = r6_sql(f"SELECT event_id, lon, lat FROM ({POINTS}) WHERE abs(lat) < 80e0 AND abs(lon) < 150e0", "event_id", lon="lon", lat="lat")
+        ORACLES[f"unproject_{_name}"] = r6_sql(f"SELECT event_id, {_lon} AS lon, {_lat} AS lat FROM (SELECT event_id, {_x} AS x, {_y} AS y FROM ({POINTS})) WHERE NOT isnan(x)", "event_id", lon="lon", lat="lat")
+    else:  # the round trip is the identity but for whole turns, which SQL can say: longitudes from half a turn west of the centre on
+        ORACLES[f"unproject_{_name}"] = r6_sql(f"SELECT event_id, CASE WHEN lon < -160e0 THEN lon + 360e0 ELSE lon END AS lon, lat FROM ({POINTS})", "event_id", lon="lon", lat="lat")
 
 
 @query("cone_constants")
@@ -123,7 +123,7 @@ def crs_catalog(spark, d):
 
 
 def _scale_factor_sql() -> str:
-    s = f"SELECT event_id, lon, lat FROM ({POINTS}) WHERE abs(lat) < 80e0 AND abs(lon) < 150e0"
+    s = f"SELECT event_id, lon, lat FROM ({POINTS})"
     for st in projection.scale_factor_stages(sample_crs("robinson"), "duckdb"):
         keep = "event_id" if "omega" in st else "event_id, lon, lat"
         s = f"SELECT {keep}, {', '.join(f'{v} AS {k}' for k, v in st.items())} FROM ({s})"
@@ -132,7 +132,7 @@ def _scale_factor_sql() -> str:
 
 @query("scale_factors", f"SELECT event_id, {rounded('h', 4)} AS h, {rounded('k', 4)} AS k, {rounded('area_scale', 4)} AS area_scale FROM ({_scale_factor_sql()})")
 def scale_factors(spark, d):
-    p = base.points(spark, d).where("abs(lat) < 80e0 AND abs(lon) < 150e0")
+    p = base.points(spark, d)
     s = projection.scale_factors(p, sample_crs("robinson"))
     return s.selectExpr("event_id", *(f"{rounded(c, 4)} AS {c}" for c in ("h", "k", "area_scale")))
 
