@@ -1,8 +1,8 @@
 """Lines and polygons: clipping to the map, densifying, branch cuts, rings over the seam, contours, points in polygons.
 
-What a segment or a cell decides for itself stays native.  What depends on a whole
-path (recursive halving, chaining) runs per path in Arrow groups, one path a task at
-most.
+What a segment or a cell decides for itself stays native.  Clipping takes neighbours and
+parts by window and halves all cut segments of a batch in step.  What depends on a whole
+path (densifying, chaining) runs per path in Arrow groups, one path a task at most.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from loxodrome.errors import GeoError
 from loxodrome.functions import geo
-from loxodrome.functions.sqltext import num
+from loxodrome.functions.sqltext import finite, num
 from loxodrome.functions.ticks import nice_ticks
 from loxodrome.model import Crs, as_crs
 from loxodrome.operators.projection import winkel_inverse  # noqa: F401  (part of the public surface)
@@ -192,32 +192,41 @@ def clip_paths(paths: DataFrame, crs: Crs | str, lon_limit=(-180.0, 180.0), lat_
     """path_id, part_id, seq, lon, lat, source: the stretches on the map; a line that leaves gets one more vertex, found by halving, and source is its place between two vertices."""
     c = as_crs(crs)
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        lon, lat = pdf["lon"].to_numpy(float), pdf["lat"].to_numpy(float)
-        ok = inside(lon, lat, c, lon_limit, lat_limit)
-        out, part, n = [], 0, 0
-        for k in range(len(lon)):
-            if k and ok[k] != ok[k - 1] and np.isfinite([lon[k], lat[k], lon[k - 1], lat[k - 1]]).all():
-                a, b = (k - 1, k) if ok[k - 1] else (k, k - 1)
-                d = np.mod(lon[b] - lon[a] + 180, 360) - 180
-                lo, hi = 0.0, 1.0
-                for _ in range(bisect):
-                    m = (lo + hi) / 2
-                    lo, hi = (m, hi) if inside([lon[a] + m * d], [lat[a] + m * (lat[b] - lat[a])], c, lon_limit, lat_limit)[0] else (lo, m)
-                src = a + lo if b > a else a - lo
-                if ok[k]:
-                    part += bool(out)
-                out.append((part, lon[a] + lo * d, lat[a] + lo * (lat[b] - lat[a]), src))
-            elif k and ok[k] and not ok[k - 1]:
-                part += bool(out)
-            if ok[k]:
-                out.append((part, lon[k], lat[k], float(k)))
-        n = len(out)
-        return pd.DataFrame({"path_id": [pdf["path_id"].iloc[0]] * n, "part_id": [r[0] for r in out], "seq": range(n), "lon": [r[1] for r in out], "lat": [r[2] for r in out], "source": [r[3] for r in out]})
+    @F.pandas_udf("boolean")
+    def on_map(lon: pd.Series, lat: pd.Series) -> pd.Series:
+        return pd.Series(inside(lon, lat, c, lon_limit, lat_limit))
+
+    @F.pandas_udf("share double, lon double, lat double")
+    def frame(cut: pd.Series, out: pd.Series, lon0: pd.Series, lat0: pd.Series, lon1: pd.Series, lat1: pd.Series) -> pd.DataFrame:
+        """Where the segments marked by cut meet the frame, seen from their end on the map (the second where not out)."""
+        at = np.flatnonzero(cut.to_numpy(bool))
+        ends = [x.to_numpy(float)[at] for x in (lon0, lat0, lon1, lat1)]
+        first = out.to_numpy(bool)[at]
+        lon, to_lon = np.where(first, ends[0], ends[2]), np.where(first, ends[2], ends[0])
+        lat, to_lat = np.where(first, ends[1], ends[3]), np.where(first, ends[3], ends[1])
+        d = np.mod(to_lon - lon + 180, 360) - 180
+        lo, hi = np.zeros(len(at)), np.ones(len(at))
+        for _ in range(bisect if len(at) else 0):
+            m = (lo + hi) / 2
+            ok = inside(lon + m * d, lat + m * (to_lat - lat), c, lon_limit, lat_limit)
+            lo, hi = np.where(ok, m, lo), np.where(ok, hi, m)
+        found = np.full((3, len(cut)), np.nan)
+        found[:, at] = lo, lon + lo * d, lat + lo * (to_lat - lat)
+        return pd.DataFrame({"share": found[0], "lon": found[1], "lat": found[2]})
 
-    kind = dict(paths.dtypes)["path_id"]
-    return _grouped(paths.select("path_id", "seq", "lon", "lat"), ["path_id"], one, f"path_id {kind}, part_id int, seq long, lon double, lat double, source double")
+    w = Window.partitionBy("path_id").orderBy("seq")
+    up_to = w.rowsBetween(Window.unboundedPreceding, 0)
+    p = paths.select("path_id", "seq", F.col("lon").cast("double").alias("lon"), F.col("lat").cast("double").alias("lat")).withColumn("ok", on_map("lon", "lat"))
+    p = p.withColumns({"k": F.row_number().over(w) - 1, "was": F.coalesce(F.lag("ok").over(w), F.lit(False)), "lon0": F.lag("lon").over(w), "lat0": F.lag("lat").over(w)})
+    whole = " AND ".join(finite(x) for x in ("lon", "lat", "lon0", "lat0"))  # NULL before the first vertex: no cut
+    p = p.withColumn("cut", F.expr(f"ok <> was AND {whole}"))
+    p = p.withColumns({"part_id": F.count_if(F.expr("ok AND NOT was")).over(up_to) - 1, "upto": (F.count_if("cut").over(up_to) + F.count_if("ok").over(up_to))})
+    p = p.where("cut OR ok").withColumn("at", frame("cut", "was", "lon0", "lat0", "lon", "lat"))
+    place = F.expr("CASE WHEN was THEN k - 1 + at.share ELSE k - at.share END")
+    met = F.when(F.col("cut"), F.struct(F.col("at.lon").alias("lon"), F.col("at.lat").alias("lat"), place.alias("source")))
+    own = F.when(F.col("ok"), F.struct("lon", "lat", F.col("k").cast("double").alias("source")))
+    p = p.withColumn("vertices", F.array_compact(F.array(met, own))).select("path_id", "part_id", "upto", F.size("vertices").alias("n"), F.posexplode("vertices").alias("pos", "v"))
+    return p.select("path_id", F.col("part_id").cast("int").alias("part_id"), (F.col("upto") - F.col("n") + F.col("pos")).alias("seq"), "v.lon", "v.lat", "v.source")
 
 
 def clip_counts(paths: DataFrame, crs: Crs | str, lon_limit=(-180.0, 180.0), lat_limit=(-90.0, 90.0)) -> DataFrame:
