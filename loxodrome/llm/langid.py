@@ -22,6 +22,9 @@ from loxodrome.llm import _textkit as tk
 from loxodrome.llm._common import bounded_sample, crc_mod, ship
 from loxodrome.llm._linear import Ftrl, softmax, temperature
 
+#: Rows that the fit, on the driver, holds as dense features at a time.
+FIT_ROWS = 32
+
 _fold: dict[str, np.ndarray] = {}
 
 
@@ -75,6 +78,42 @@ def _tfidf(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-9)
 
 
+class SparseRows:
+    """Rows of float32 kept as places and values; dense only where they are taken, a few at a time."""
+
+    def __init__(self, width: int) -> None:
+        self.width, self.places, self.values = width, [], []
+
+    def append(self, dense: np.ndarray) -> None:
+        for row in dense:
+            at = np.flatnonzero(row)
+            self.places.append(at.astype(np.int32))
+            self.values.append(row[at])
+
+    def __getitem__(self, rows: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(rows), self.width), np.float32)
+        for i, k in enumerate(rows):
+            out[i, self.places[k]] = self.values[k]
+        return out
+
+    def of(self, rows: np.ndarray) -> SparseRows:
+        out = SparseRows(self.width)
+        out.places, out.values = [self.places[k] for k in rows], [self.values[k] for k in rows]
+        return out
+
+    def owners(self) -> np.ndarray:
+        """For each place, the rows that have a value there."""
+        out = np.zeros(self.width, np.int64)
+        for at in self.places:
+            out[at] += 1
+        return out
+
+    def replace(self, change) -> None:
+        """Every row becomes its ``change``; a place without a value keeps none."""
+        for k in range(len(self.places)):
+            self.values[k] = change(self[[k]])[0, self.places[k]]
+
+
 class LanguageModel:
     def __init__(self, width: int = 1 << 13) -> None:
         self.width, self.langs, self.t = width, [], 1.0
@@ -84,14 +123,19 @@ class LanguageModel:
         if not self.langs:
             return self
         y = np.array([self.langs.index(x) for x in langs])
-        counts = np.vstack([features(b, self.width)[0].astype(np.float32) for b in tk.text_blocks(pa.array(texts, pa.string()))])
-        self.idf = (np.log((1 + len(y)) / (1 + (counts > 0).sum(axis=0))) + 1).astype(np.float32)
-        x = _tfidf(counts, self.idf)
+        x = SparseRows(self.width)
+        for i in range(0, len(texts), FIT_ROWS):
+            for b in tk.text_blocks(pa.array(texts[i : i + FIT_ROWS], pa.string())):
+                x.append(features(b, self.width)[0].astype(np.float32))
+        self.idf = (np.log((1 + len(y)) / (1 + x.owners())) + 1).astype(np.float32)
+        x.replace(lambda counts: _tfidf(counts, self.idf))
         aside = np.random.default_rng(seed).random(len(y)) < 0.2
         if aside.all() or len(y) < 20:
             aside[:] = False
-        self.w = Ftrl(self.width, len(self.langs)).fit(x[~aside], y[~aside], epochs, 16, seed).astype(np.float32)
-        self.t = temperature(self.logits(x[aside]), y[aside])
+        learn, kept = np.flatnonzero(~aside), np.flatnonzero(aside)
+        self.w = Ftrl(self.width, len(self.langs)).fit(x.of(learn), y[learn], epochs, 16, seed).astype(np.float32)
+        logits = [self.logits(x[kept[i : i + FIT_ROWS]]) for i in range(0, len(kept), FIT_ROWS)]
+        self.t = temperature(np.concatenate(logits) if logits else np.zeros((0, len(self.langs))), y[kept])
         return self
 
     def logits(self, x: np.ndarray) -> np.ndarray:
